@@ -65,7 +65,7 @@ def profile(df: DataFrame, group: str, columns: list[str] | None = None, pattern
     finite = F.when(F.col("number").isNotNull() & (F.abs("number") < F.lit(1e12)), F.col("number"))
     exact = finite.cast("decimal(24,6)")
     n = F.col("rows")
-    stats = values.withColumns({"x": finite, "d": exact, "bad": F.when(rule.isNotNull() & ~F.col("absent"), ~F.col("value").rlike(rule)).otherwise(False)}).groupBy("group", "column_name").agg(
+    stats = values.withColumns({"x": finite, "d": exact, "bad": F.when(rule.isNotNull() & ~F.col("absent"), ~F.regexp_like("value", rule)).otherwise(False)}).groupBy("group", "column_name").agg(
         F.sum("rows").alias("n_rows"),
         F.sum(F.when(F.col("absent"), n).otherwise(0)).alias("n_absent"),
         F.count("value").alias("n_distinct"),
