@@ -8,7 +8,7 @@ position where a writer introduces a person.  Each epoch sees the texts
 changed: in lower or upper case, with other digits, and with names made up from
 syllables, so that the network learns positions and shapes, not a list.
 
-    python -m scoreloom.llm.pii_training SF_DIR [WEIGHTS]
+    python -m scoreloom.llm.pii_training SF_DIR [WEIGHTS [EPOCHS [FIRST_STAGE_WEIGHTS]]]
 """
 
 from __future__ import annotations
@@ -278,7 +278,7 @@ def score(tagger: Tagger, data: list) -> dict[str, tuple[int, int, int]]:
     return {k: tuple(x) for k, x in res.items()}
 
 
-def main(sf_dir: str, out: str = WEIGHTS, epochs: int = 30) -> None:
+def main(sf_dir: str, out: str = WEIGHTS, epochs: int = 40, first: str | None = None) -> None:
     texts, listed = sample(sf_dir)
     label = labeller(texts, listed)
     data = [(t, label(t)) for t in texts]
@@ -287,7 +287,11 @@ def main(sf_dir: str, out: str = WEIGHTS, epochs: int = 30) -> None:
     held, data = data[: len(data) // 10], data[len(data) // 10 :]
     rich, plain = [d for d in data if d[1]], [d for d in data if not d[1]]
     print(len(rich), "texts with items,", len(plain), "without")
-    weights = train(rich * 2 + plain[: 2 * len(rich)], epochs)
+    if first:  # weights of a first stage that was run before
+        with np.load(first) as z:
+            weights = {k: z[k] for k in z.files}
+    else:
+        weights = train(rich * 2 + plain[: 2 * len(rich)], epochs)
     # False alarms of the first stage become windows of the second, beside all texts.
     for stage in range(2):
         tagger = Tagger(weights)
@@ -299,10 +303,10 @@ def main(sf_dir: str, out: str = WEIGHTS, epochs: int = 30) -> None:
                 missed = [(a, b, k) for a, b, k in gold if not any(a < y and x < b and k == z for x, y, z in got)]
                 hard += [(text, sorted(gold + [w for w in wrong if all(w[1] <= x or w[0] >= y for x, y, _ in gold)]))] * (4 * bool(wrong or missed))
         print(len(hard) // 4, "texts with errors")
-        weights = train(rich * 2 + plain + hard, max(1, epochs // 3), seed=8 + stage, start=weights, top=0.003)
+        weights = train(rich * 2 + plain + hard, max(1, epochs // 5), seed=8 + stage, start=weights, top=0.003)
     np.savez_compressed(out, **{k: v.astype(np.float32) for k, v in weights.items()})
     print("held out (agreed, labelled, found):", score(Tagger.load(out), held))
 
 
 if __name__ == "__main__":
-    main(*sys.argv[1:3], *map(int, sys.argv[3:4]))
+    main(*sys.argv[1:3], *map(int, sys.argv[3:4]), *sys.argv[4:5])
