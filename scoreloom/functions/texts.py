@@ -14,11 +14,12 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scoreloom.functions.parsing import strip
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _unescape(s: pd.Series) -> pd.Series:
     return s.map(html.unescape, na_action="ignore")
 
@@ -37,14 +38,14 @@ def clean_text(c: Column, entities: bool = True) -> Column:
 def fixed(digits: int):
     """Arrow function: a number with ``digits`` decimals as C would round it; null stays null."""
 
-    @F.pandas_udf("string")
+    @F.pandas_udf(T.StringType())
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda x: f"{x:.{digits}f}", na_action="ignore")
 
     return run
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def significant(s: pd.Series) -> pd.Series:
     """Six significant digits, exponents as in C."""
     return s.map(lambda x: f"{x:.6g}", na_action="ignore")
@@ -131,7 +132,7 @@ def _last_object(text: str) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def last_json(s: pd.Series) -> pd.Series:
     """The last JSON object of a response, rendered anew; null if there is none."""
     return s.map(_last_object, na_action="ignore")
