@@ -15,10 +15,16 @@ from pyspark.sql import functions as F
 from scoreloom.operators.scores import quantiles, score_table
 
 
+def finite(c: str) -> Column:
+    """The column as a number, null where it is NaN or infinite."""
+    v = F.col(c).cast("double")
+    return F.when(F.abs(v) < 1e300, v)
+
+
 def imputation_values(df: DataFrame, numeric: list[str], categorical: list[str]) -> dict[str, float | str]:
     """Exact medians, and modes with the smallest value on ties."""
     out: dict[str, float | str] = {}
-    clean = df.select(*[F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")).alias(c) for c in numeric], *categorical)
+    clean = df.select(*[finite(c).alias(c) for c in numeric], *categorical)
     if numeric:
         long = clean.select(F.explode(F.array(*[F.struct(F.lit(c).alias("f"), F.col(c).alias("v")) for c in numeric])).alias("x")).select("x.*", F.lit(0).alias("y"))
         out |= {r.f: r.value for r in quantiles(score_table(long, "v", "y", ["f"]), [0.5], ["f"]).collect()}
@@ -30,28 +36,33 @@ def imputation_values(df: DataFrame, numeric: list[str], categorical: list[str])
 
 def standardised(df: DataFrame, columns: list[str], fitted: DataFrame | None = None) -> DataFrame:
     """Columns with median imputation, then (x - mean) / population deviation (1 if it is 0)."""
+    if not columns:
+        return df
     fit = fitted if fitted is not None else df
     medians = imputation_values(fit, columns, [])
-    value = {c: F.coalesce(F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")), F.lit(medians.get(c, 0.0))) for c in columns}
+    value = {c: F.coalesce(finite(c), F.lit(medians.get(c, 0.0))) for c in columns}
     row = fit.agg(*[F.avg(v).alias(f"m_{c}") for c, v in value.items()], *[F.stddev_pop(v).alias(f"s_{c}") for c, v in value.items()]).first()
     return df.withColumns({f"z_{c}": (v - F.lit(row[f"m_{c}"])) / F.lit(row[f"s_{c}"] or 1.0) for c, v in value.items()})
 
 
-def one_hot(df: DataFrame, columns: list[str], fitted: DataFrame | None = None, most: int = 1000) -> DataFrame:
-    """A 0/1 column for each category seen in fitting; unknown ones are all zero.
+def one_hot(df: DataFrame, columns: list[str], fitted: DataFrame | None = None, most: int = 1000) -> tuple[DataFrame, dict[str, tuple[str, str]]]:
+    """A 0/1 column for each category seen in fitting, and what each stands for; unknown ones are all zero.
 
-    most: an error beyond so many categories of a column, which is no categorical feature then.
+    Columns are numbered, as categories may differ in case only.  most: an error beyond so many
+    categories of a column, which is no categorical feature then.
     """
     fit = fitted if fitted is not None else df
-    modes = imputation_values(fit, [], columns)
-    out = {}
+    modes = imputation_values(fit, [], columns) if columns else {}
+    out, names = {}, {}
     for c in columns:
         seen = [r[0] for r in fit.where(F.col(c).isNotNull()).select(c).distinct().orderBy(c).limit(most + 1).collect()]
         if len(seen) > most:
             raise ValueError(f"{c} has more than {most} categories")
         v = F.coalesce(F.col(c), F.lit(modes.get(c)))
-        out |= {f"{c}={k}": F.coalesce((v == k).cast("double"), F.lit(0.0)) for k in seen}
-    return df.withColumns(out)
+        for i, k in enumerate(seen):
+            out[f"is_{c}_{i}"] = F.coalesce((v == k).cast("double"), F.lit(0.0))
+            names[f"is_{c}_{i}"] = (c, k)
+    return (df.withColumns(out) if out else df), names
 
 
 def term_weights(df: DataFrame, key: str, text: str, least_documents: int = 5) -> DataFrame:
@@ -94,8 +105,7 @@ class Tabular:
 
     def fit(self, df: DataFrame) -> "Tabular":
         self.fitted = df
-        self.columns = [c for c in one_hot(standardised(df.limit(0), self.numeric, df), self.categorical, df).columns if c.startswith("z_") or "=" in c]
-        self.names = [f"f{i}" for i in range(len(self.columns))]
+        self.names = [f"z_{c}" for c in self.numeric] + list(one_hot(df, self.categorical)[1])
         if self.text:
             stages = [
                 RegexTokenizer(inputCol="_text", outputCol="_w1", pattern=r"(?U)\b\w\w+\b", gaps=False),
@@ -117,8 +127,7 @@ class Tabular:
         return df.withColumn("_text", F.lower(F.coalesce(F.col(self.text), F.lit(""))))
 
     def transform(self, df: DataFrame, out: str = "features") -> DataFrame:
-        wide = one_hot(standardised(df, self.numeric, self.fitted), self.categorical, self.fitted)
-        wide = wide.select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"`{c}`").alias(n) for c, n in zip(self.columns, self.names)])
+        wide, _ = one_hot(standardised(df, self.numeric, self.fitted), self.categorical, self.fitted)
         parts = list(self.names)
         if self.text:
             terms = self.tokens.transform(self._with_text(wide)).withColumn("_terms", F.concat("_w1", "_w2"))

@@ -58,7 +58,7 @@ def quantiles(table: DataFrame, probs: list[float], by: list[str] | None = None)
     low, high = F.floor("pos"), F.ceil("pos")
     holds = lambda k: (F.col("below") <= k) & (k < F.col("below") + F.col("n"))
     near = at.where(holds(low) | holds(high))
-    return near.groupBy(*by, "prob").agg(F.max(F.when(holds(low), F.col("score"))).alias("a"), F.max(F.when(holds(high), F.col("score"))).alias("b"), F.max(F.col("pos") - low).alias("f")).select(*by, "prob", (F.col("a") + (F.col("b") - F.col("a")) * F.col("f")).alias("value"))
+    return near.groupBy(*by, "prob").agg(F.max(F.when(holds(low), F.col("score"))).alias("a"), F.max(F.when(holds(high), F.col("score"))).alias("b"), F.max(F.col("pos") - low).alias("_frac")).select(*by, "prob", (F.col("a") + (F.col("b") - F.col("a")) * F.col("_frac")).alias("value"))
 
 
 def ratio(a: Column, b: Column) -> Column:

@@ -210,7 +210,7 @@ def _corr_sql() -> str:
     from itertools import combinations
 
     pairs = [*combinations(NUMERIC, 2), *[(c, "target") for c in NUMERIC]]
-    v = lambda c: "target" if c == "target" else clean_sql(c)
+    v = lambda c: "target" if c == "target" else f"CASE WHEN isfinite({c}) THEN {c} END"
     return " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0), 6) AS r FROM (SELECT {v(a)} AS x, {v(b)} AS y FROM shared_split) WHERE x IS NOT NULL AND y IS NOT NULL" for a, b in pairs)
 
 

@@ -49,7 +49,7 @@ def _edges_by_rank(c: str) -> str:
 _EDGES = f"{_VALUES}, " + ", ".join(map(_edges_by_rank, PROFILED)) + ", edges AS (" + " UNION ALL ".join(f"SELECT feature, e[2:len(e) - 1] AS edges FROM e_{c}" for c in PROFILED) + ")"
 
 
-@query(f"WITH {_EDGES} SELECT feature, list_transform(edges, x -> round(x, 6)) AS edges FROM edges")
+@query(f"WITH {_EDGES} SELECT feature, list_transform(edges, lambda x: round(x, 6)) AS edges FROM edges")
 def quantile_edges(spark: SparkSession, sf: str) -> DataFrame:
     found = profiles.quantile_edges(split_rows(spark, sf).where("split = 'train_fit'"), PROFILED)
     return found.select("feature", F.transform("edges", lambda x: F.round(x, 6)).alias("edges"))
@@ -57,7 +57,7 @@ def quantile_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 def _bucket_sql(c: str) -> str:
     if c in PROFILED:
-        return f"CASE WHEN {clean_sql(c)} IS NULL THEN '__MISSING__' ELSE len(list_filter((SELECT edges FROM edges WHERE feature = '{c}'), x -> x < {c}))::VARCHAR END"
+        return f"CASE WHEN {clean_sql(c)} IS NULL THEN '__MISSING__' ELSE len(list_filter((SELECT edges FROM edges WHERE feature = '{c}'), lambda x: x < {c}))::VARCHAR END"
     return f"CASE WHEN {c} IS NULL OR {c} IN ('', 'nan') THEN '__MISSING__' ELSE {c} END"
 
 
@@ -118,7 +118,7 @@ def _curve(df: DataFrame) -> DataFrame:
 def _curve_sql(source: str, with_: str, rates: list[float]) -> str:
     q = " UNION ALL ".join(f"SELECT {r} AS rr, quantile_cont(score, {1 - r!r}) AS t FROM {source} WHERE split = 'validation'" for r in rates)
     m = lambda s: f"count(*) FILTER (split = '{s}' AND score >= t) AS {s}_rej, count(*) FILTER (split = '{s}' AND score >= t AND target = 1) AS {s}_tp, count(*) FILTER (split = '{s}') AS {s}_n, count(*) FILTER (split = '{s}' AND target = 1) AS {s}_p"
-    z = lambda a, b: f"round(coalesce({a} / nullif({b}, 0), 0), 6)"
+    z = lambda a, b: f"round(coalesce(({a}) / nullif({b}, 0), 0), 6)"
     return f"""{with_}, q AS ({q}), c AS (SELECT rr, t, {m('validation')}, {m('test')} FROM {source}, q GROUP BY rr, t)
 SELECT round(rr, 6) AS target_reject_rate, round(t, 6) AS threshold_from_validation, {z('validation_rej', 'validation_n')} AS validation_reject_rate, {z('validation_tp', 'validation_rej')} AS validation_precision, {z('validation_tp', 'validation_p')} AS validation_recall,
 {z('test_rej', 'test_n')} AS test_reject_rate, {z('test_tp', 'test_rej')} AS test_precision, {z('test_tp', 'test_p')} AS test_recall, {z('test_p - test_tp', 'test_n - test_rej')} AS test_approval_bad_rate, round(coalesce(test_tp / nullif(test_rej, 0), 0) / rr, 6) AS test_lift FROM c"""
@@ -450,7 +450,7 @@ def scorer_two_stage(spark: SparkSession, sf: str) -> DataFrame:
 # --- features and models -------------------------------------------------------------------------
 
 
-@query(r"""WITH w AS (SELECT _shared_row_id, regexp_extract_all(lower(desc_clean), '\b\w\w+\b') AS w FROM shared_split), t AS (SELECT _shared_row_id, unnest(list_concat(w, list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1]))) AS term FROM w WHERE len(w) > 0),
+@query(r"""WITH w AS (SELECT _shared_row_id, regexp_extract_all(lower(desc_clean), '\b\w\w+\b') AS w FROM shared_split), t AS (SELECT _shared_row_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w WHERE len(w) > 0),
 tf AS (SELECT _shared_row_id, term, count(*) AS tf FROM t GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1 HAVING count(*) >= 50), n AS (SELECT count(*) AS n FROM shared_split),
 x AS (SELECT tf.*, df.df, ln((1 + n) / (1 + df.df)) + 1 AS idf FROM tf JOIN df USING (term), n)
 SELECT term, df, round(any_value(idf), 6) AS idf, sum(tf)::BIGINT AS tf FROM x WHERE NOT regexp_matches(term, '[^ -~]') GROUP BY 1, 2""")
@@ -472,10 +472,9 @@ def standardized(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("WITH mode_ AS (SELECT home_ownership AS m FROM shared_split WHERE home_ownership IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) SELECT coalesce(home_ownership, m) AS category, count(*)::DOUBLE AS n FROM shared_split, mode_ GROUP BY 1")
 def one_hot_counts(spark: SparkSession, sf: str) -> DataFrame:
-    wide = features.one_hot(split_rows(spark, sf), ["home_ownership"])
-    names = [c for c in wide.columns if c.startswith("home_ownership=")]
-    row = wide.agg(*[F.sum(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(names)])
-    return row.select(F.explode(F.array(*[F.struct(F.lit(c.split("=", 1)[1]).alias("category"), F.col(f"c{i}").alias("n")) for i, c in enumerate(names)])).alias("x")).select("x.*")
+    wide, names = features.one_hot(split_rows(spark, sf), ["home_ownership"])
+    row = wide.agg(*[F.sum(c).alias(c) for c in names])
+    return row.select(F.explode(F.array(*[F.struct(F.lit(k).alias("category"), F.col(c).alias("n")) for c, (_, k) in names.items()])).alias("x")).select("x.*")
 
 
 @query("SELECT target, count(*) AS n, round((SELECT count(*) FROM shared_split) / (2.0 * count(*)), 9) AS weight FROM shared_split GROUP BY 1")

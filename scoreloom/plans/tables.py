@@ -37,11 +37,11 @@ def scored(spark: SparkSession, sf: str) -> DataFrame:
     """Split rows with a plain score in [0, 1], for measures that only need some score."""
     v = lambda c: F.coalesce(null_if_nan(F.col(c)), F.lit(0.0))
     s = (2 * v("int_rate") + 0.5 * v("dti") + 0.1 * v("revol_util")) / 100.0
-    return split_rows(spark, sf).select("_shared_row_id", "load_no", "split", "target", "issue_year", F.round(F.least(F.greatest(s, F.lit(0.0)), F.lit(1.0)), 4).alias("score"))
+    return split_rows(spark, sf).select("_shared_row_id", "load_no", "split", "target", "issue_year", F.round(F.least(F.greatest(s, F.lit(0.0)), F.lit(1.0)), 6).alias("score"))
 
 
 SCORED = """scored AS (SELECT _shared_row_id, load_no, split, target, issue_year, round(least(greatest((2 * coalesce(CASE WHEN NOT isnan(int_rate) THEN int_rate END, 0)
-    + 0.5 * coalesce(CASE WHEN NOT isnan(dti) THEN dti END, 0) + 0.1 * coalesce(CASE WHEN NOT isnan(revol_util) THEN revol_util END, 0)) / 100.0, 0.0), 1.0), 4) AS score FROM shared_split)"""
+    + 0.5 * coalesce(CASE WHEN NOT isnan(dti) THEN dti END, 0) + 0.1 * coalesce(CASE WHEN NOT isnan(revol_util) THEN revol_util END, 0)) / 100.0, 0.0), 1.0), 6) AS score FROM shared_split)"""
 
 
 def clean_sql(c: str) -> str:

@@ -35,7 +35,7 @@ def rate_gaps_by_stream(spark: SparkSession, path: str, threshold: float = 0.45,
     if not os.path.isdir(path):
         reader = reader.option("pathGlobFilter", os.path.basename(path))
     v = lambda c: F.coalesce(null_if_nan(F.col(c)), F.lit(0.0))
-    score = F.round(F.least(F.greatest((2 * v("int_rate") + 0.5 * v("dti") + 0.1 * v("revol_util")) / 100.0, F.lit(0.0)), F.lit(1.0)), 4)
+    score = F.round(F.least(F.greatest((2 * v("int_rate") + 0.5 * v("dti") + 0.1 * v("revol_util")) / 100.0, F.lit(0.0)), F.lit(1.0)), 6)
     counts = reader.parquet(source).withColumn("score", score).groupBy("issue_year").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("score") >= threshold).alias("k"))
     name = "gaps_" + uuid.uuid4().hex
     run = counts.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
