@@ -19,6 +19,8 @@ from scoreloom.llm.pii_model import TAGS, Tagger
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
 CHUNK = 600  # texts that are tagged together
 
+_MAIL = re.compile(r"[\w.+'-]+ ?(?:@|\(at\)|\[at\]|\{at\}) ?\w[\w-]*(?: ?(?:\.|\(dot\)|\[dot\]|\{dot\}|\bdot\b) ?\w+)+|[\w.+'-]+ at \w[\w-]*(?: ?(?:\(dot\)|\[dot\]|\{dot\}|\bdot\b) ?\w+)+", re.I)
+_SSN = re.compile(r"(?<!\d)\d{3}([-. ])\d{2}\1\d{4}(?!\d)")
 _DIGIT, _LETTER = re.compile(r"\d"), re.compile(r"[^\W\d_]")
 
 
@@ -36,27 +38,48 @@ def plausible(item: str, kind: str) -> bool:
     return len(_LETTER.findall(item)) >= 2
 
 
+def parts_of(text: str, a: int, b: int, kind: str) -> list[tuple[int, int]]:
+    """An identity number's span cut where a second number begins."""
+    if kind == "id_number":
+        starts = [m.start() + a for m in _SSN.finditer(text[a:b])]
+        cuts = [x for x in starts[1:]] + [a + m.end() for m in re.finditer(r"[.;,]\s+", text[a:b]) if len(_DIGIT.findall(text[a : a + m.start()])) >= 6 and len(_DIGIT.findall(text[a + m.end() : b])) >= 6]
+        edges = [a, *sorted(set(cuts)), b]
+        return list(zip(edges[:-1], edges[1:]))
+    return [(a, b)]
+
+
 def tidy(text: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """Spans cut back to their outer characters, joined over at most two marks, and checked."""
+    """The tagger's spans after the exact check.
+
+    Spans are joined over at most two marks, widened to whole words (mail addresses to the whole
+    address), cut where two numbers were run together, and dropped if their characters cannot be
+    what the type says.  A number in the form of a social security number is no telephone number.
+    """
     joined: list[list] = []
     for a, b, kind in spans:
         if joined and joined[-1][2] == kind and a - joined[-1][1] <= 2 and not re.search(r"[\n.;]\s|\w", text[joined[-1][1] : a]):
             joined[-1][1] = b
         else:
             joined.append([a, b, kind])
-    out = []
+    mails = [m.span() for m in _MAIL.finditer(text)] if any(k in ("email", "name") for *_, k in joined) else []
+    out: list[tuple[int, int, str]] = []
     for a, b, kind in joined:
-        # Whole words only: a tag that starts or ends inside a word covers the word.
-        while a > 0 and text[a - 1].isalnum() and text[a].isalnum():
-            a -= 1
-        while b < len(text) and text[b].isalnum() and text[b - 1].isalnum():
-            b += 1
-        while a < b and (text[a].isspace() or text[a] in ",;:"):
-            a += 1
-        while b > a and (text[b - 1].isspace() or text[b - 1] in ",;:"):
-            b -= 1
-        if a < b and plausible(text[a:b], kind) and (not out or a >= out[-1][1]):
-            out.append((a, b, kind))
+        mail = next(((x, y) for x, y in mails if a < y and x < b), None) if kind in ("email", "name") else None
+        if mail and (kind == "email" or text[mail[0] : mail[1]].startswith(text[a:b].strip())):
+            a, b, kind = *mail, "email"
+        for a, b in parts_of(text, a, b, kind):
+            while a > 0 and text[a - 1].isalnum() and text[a].isalnum():
+                a -= 1
+            while b < len(text) and text[b].isalnum() and text[b - 1].isalnum():
+                b += 1
+            while a < b and (text[a].isspace() or text[a] in ",;:"):
+                a += 1
+            while b > a and (text[b - 1].isspace() or text[b - 1] in ",;:"):
+                b -= 1
+            if kind == "phone" and _SSN.fullmatch(text[a:b]):
+                kind = "id_number"
+            if a < b and plausible(text[a:b], kind) and (not out or a >= out[-1][1]):
+                out.append((a, b, kind))
     return out
 
 
