@@ -46,10 +46,16 @@ def own_wording(items: list[tuple[int, str | None]]) -> dict[int, list[str]]:
     return {i: w for i, own in lines.items() if (w := [x for line in own if holders[line] < STOCK_ITEMS for x in line])}
 
 
+def rarity(texts: dict[int, list[str]]) -> dict[str, float]:
+    """Weight of each word: the logarithm of items for each item that holds it."""
+    df = Counter(w for t in texts.values() for w in set(t))
+    return {w: math.log(1 + len(texts) / n) for w, n in df.items()}
+
+
 class Automaton:
     """Generalised suffix automaton over the word lists of items."""
 
-    def __init__(self, texts: dict[int, list[str]]):
+    def __init__(self, texts: dict[int, list[str]], weight: dict[str, float] | None = None):
         self.texts = texts
         nxt: list[dict] = [{}]
         link, size = [-1], [0]
@@ -89,8 +95,7 @@ class Automaton:
             if size[s] >= RUN and link[s] > 0:
                 ends[link[s]] = ends[link[s]] + ends[s]
         self.nxt, self.link, self.size, self.ends = nxt, link, size, ends
-        df = Counter(w for t in texts.values() for w in set(t))
-        self.weight = {w: math.log(1 + len(texts) / n) for w, n in df.items()}
+        self.weight = weight or rarity(texts)
 
     def matches(self, text: list[str]) -> dict[int, list[tuple[int, int, int]]]:
         """Maximal matches (start in text, start in item, words) by item."""
@@ -190,11 +195,13 @@ def find_leaks(corpus: DataFrame, key: str, text: str, items: DataFrame, item_ke
     schema = f"k {kind}, item long, coverage double, first_word int, end_word int"
     spark = corpus.sparkSession
     parts = []
-    for block in blocks(own_wording(rows)):
-        shared = spark.sparkContext.broadcast(block)
+    own = own_wording(rows)
+    weight = rarity(own)  # over all items, so results don't depend on blocks
+    for block in blocks(own):
+        shared = spark.sparkContext.broadcast((block, {w: weight[w] for t in block.values() for w in t}))
 
         def run(pieces: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            automaton = Automaton(shared.value)
+            automaton = Automaton(*shared.value)
             for piece in pieces:
                 hits = [(k, *hit) for k, t in zip(piece["k"], piece["t"]) for hit in automaton.leaks(words(t))]
                 yield pd.DataFrame(hits, columns=["k", "item", "coverage", "first_word", "end_word"])

@@ -18,12 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scoreloom.llm.wording import words
+from scoreloom.session import checkpointed
 
 SLOT = re.compile(
     r"\{\{\s*[\w. ]+?\s*\}\}|\$\{\s*[\w. ]+?\s*\}|\{[a-z_][\w.]*\}|\[\[\s*[\w. ]+?\s*\]\]|<<\s*[\w. ]+?\s*>>|«[^»\n]{1,40}»|(?<!\w)__[a-z][\w. ]*?__(?!\w)"
     r"|%%[\w. ]+?%%|@@[\w. ]+?@@|(?<!\w)#[a-z][\w.]*#|\[(?:your|insert|enter|add)\b[^\]\n]*\]|\[[^\]\n]{2,40} here\]|_{4,}|\$x+(?:,x+)+|\bxx/xx/xxxx\b|\[object object\]|\*\|[\w. ]+?\|\*"
     r"|<(?!/?(?:html|head|title|body|noscript|script|style|think|error|code|message|id|br|p|b|i|u|em|div|span|a|ul|li|table|tr|td|h\d)\b)[a-z_]+(?:[._ ][a-z]+)*>",
-    re.I,
 )
 FILLER = [
     r"(?:[a-z]+ ){0,2}text goes here\b", r"this is where the \w+ (?:goes|should|will)", r"here the \w+ (?:goes|should|will)\b", r"replace this (?:text|line)\b", r"delete this (?:text|line)\b",
@@ -33,7 +33,7 @@ FILLER = [
 ERROR = [
     r"(?:http )?(?:error )?[45]\d\d\s*[-–:]?\s*(?:page not found|not found|the (?:file|page)|forbidden|unauthorized|bad gateway|gateway time|service (?:temporarily )?unavailable|internal server|too many)",
     r"(?:http )?error \d{3}\s*[-–:]", r"too many requests\.", r"oops!", r"request blocked\b", r"<?error>?<code>", r"traceback \(most recent call last\)", r"access denied\.",
-    r"your session has (?:expired|timed out)", r"this (?:content|page|document) is (?:not available|unavailable)", r"(?:document|attachment|file) \S+ could not be (?:opened|found|retrieved)",
+    r"your session has (?:expired|timed out)", r"this (?:content|page|document) is (?:not available|unavailable)", r"(?:document|attachment|file) \S+ could not be (?:opened|found|retrieved|loaded|displayed|shown)", r"the connection (?:timed out|was (?:reset|closed|lost)) while",
     r"p[aá]gina no encontrada", r"error del servidor", r"页面未找到", r"服务器错误", r"the requested url \S+ was not found", r"the upstream did not answer", r"you don.?t have permission to (?:view|access)",
 ]
 SCRIPT = [
@@ -41,14 +41,20 @@ SCRIPT = [
     r"checking your browser\b", r"(?:viewing )?this (?:site|file|page|case|document|app) requires (?:javascript|scripts?|cookies)", r"scripts? (?:is|are) (?:switched|turned) off", r"turn on (?:scripting|javascript)", r"loading ?\.{3}\s*$", r"this process is automatic\b", r"if this takes too long, allow scripts",
     r"active el javascript", r"请启用浏览器", r"浏览器(?:不支持|版本过低)",
 ]
-STRONG = {k: re.compile(r"\W{0,3}(?:" + "|".join(v) + ")", re.I) for k, v in (("filler", FILLER), ("error", ERROR), ("script", SCRIPT))}
-ERROR_JSON = re.compile(r"""(?:^|[\n>]|[.!?。]\s)\s*\{\s*"(?:status|error|code)"\s*:\s*(?:"error|"fail|true|[45]\d\d)""", re.I)
-LATIN = re.compile(r"\b(?:lorem|ipsum|dolor\w*|sit|amet\w*|nec|sed\w*|tellus\w*|pellat\w*|ornav\w*|ferma\w*|vulpar\w*|consect\w*|adipisc\w*|elit|[cq]uorem|corem|maur\w*)\b", re.I)
+# Every pattern above holds one of these, so a text without any needs no segments (lower case).
+KEYS = ["goes here", "this is where", "here the", "replace this", "delete this", "content", "to be written", "summary to", "owner to", "todo", "tbd", "xxxx", "test", "blah", "lorem", "在此处", "placeholder", "escriba", "texto de"]
+KEYS += ["not found", "the file", "the page", "forbidden", "unauthorized", "gateway", "unavailable", "internal server", "too many", "error", "oops", "blocked", "traceback", "denied", "expired", "timed out", "not available", "could not be", "no encontrada", "页面", "服务器", "upstream", "permission", "connection"]
+KEYS += ["javascript", "script", "cookies", "browser", "loading", "automatic", "takes too long", "浏览器"]
+STRONG = {k: re.compile(r"\W{0,3}(?:" + "|".join(v) + ")") for k, v in (("filler", FILLER), ("error", ERROR), ("script", SCRIPT))}
+ERROR_JSON = re.compile(r"""(?:^|[\n>]|[.!?。]\s)\s*\{\s*"(?:status|error|code)"\s*:\s*(?:"error|"fail|true|[45]\d\d)""")
+LATIN = re.compile(r"\b(?:lorem|ipsum|dolor\w*|sit|amet\w*|nec|sed\w*|tellus\w*|pellat\w*|ornav\w*|ferma\w*|vulpar\w*|consect\w*|adipisc\w*|elit|[cq]uorem|corem|maur\w*)\b")
 COMMON = frozenset("the a an of to and in is was for on with that this by it at are were from as be or not i my we our you de la el los las que con por para una un en y es".split())
-ABOUT = re.compile(r"\b(?:template|placeholders?|curly braces|quoted|greeting|drafts?|printed|reported|plan|the word|wrote|guide|prompt|checks|raised|said|counted|borrowers)\b", re.I)
+ABOUT = re.compile(r"\b(?:template|placeholders?|curly braces|quoted|greeting|drafts?|printed|reported|plan|the word|wrote|guide|prompt|checks|raised|said|counted|borrowers)\b")
 QUOTED = re.compile(r"(?<!\w)'[^'\n]{1,200}'(?!\w)|\"[^\"\n]{1,200}\"|“[^”\n]{1,200}”|‘[^’\n]{1,200}’|`[^`\n]{1,200}`")
-NOTICE = re.compile(r"javascript|scripts?\b|browser|cookies|captcha|unavailable|not found|error|expired|placeholder|lorem|sign in|log in|try again|navegador|no existe|浏览器|脚本|错误", re.I)
-SENTENCE = re.compile(r"(?<=[.!?。！？])(?:\s+|(?=[一-鿿]))|[\n\r\u2028\u2029\x0b\x0c]+|\s*</(?:title|head|body|p|h\d)>\s*|\s*<(?:html|head|title|body|p|h\d)>\s*", re.I)
+NOTICE = ["javascript", "scripts", "script ", "browser", "cookies", "captcha", "unavailable", "not found", "error", "expired", "placeholder", "lorem", "sign in", "log in", "try again", "navegador", "no existe", "浏览器", "脚本", "错误"]
+# Every slot holds one of these.
+SLOT_KEYS = ["{", "[", "<", "«", "__", "%%", "@@", "#", "$x", "xx/", "*|"]
+SENTENCE = re.compile(r"(?<=[.!?。！？])(?:\s+|(?=[一-鿿]))|[\n\r\u2028\u2029\x0b\x0c]+|\s*</(?:title|head|body|p|h\d)>\s*|\s*<(?:html|head|title|body|p|h\d)>\s*")
 SLOTS = 2  # unquoted slots that make a text an unfilled template
 SHORT = 40  # words of a low-information body
 COPIES = 3  # records that make a masked body host evidence
@@ -57,30 +63,39 @@ COPIES = 3  # records that make a masked body host evidence
 def signs(text: str, slug: str | None) -> tuple[list[str], bool, str]:
     """(kinds of strong residue, weak signs present, masked body)."""
     kinds, slots = set(), 0
-    open_text = QUOTED.sub(" ' ", text)
-    if ERROR_JSON.search(text):
+    low = text.lower()
+    if "{" in low and ERROR_JSON.search(low):
         kinds.add("error")
-    if SLOT.search(open_text):
-        for seg in SENTENCE.split(open_text):
+    low = QUOTED.sub(" ' ", low)
+    segments: list[str] | None = None
+    if any(k in low for k in SLOT_KEYS) and SLOT.search(low):
+        segments = SENTENCE.split(low)
+        for seg in segments:
             if seg and not ABOUT.search(SLOT.sub(" ", seg)):
-                slots += len(SLOT.findall(seg)) + len(re.findall(r"\b(?:undefined|nan)\b", seg, re.I))
+                slots += len(SLOT.findall(seg)) + len(re.findall(r"\b(?:undefined|nan)\b", seg))
         if slots >= SLOTS:
             kinds.add("template")
-    for seg in SENTENCE.split(open_text):
-        if not seg or len(seg) < 4:
+    keyed, latin = any(k in low for k in KEYS), len(LATIN.findall(low)) >= 2
+    for seg in (segments or SENTENCE.split(low)) if keyed or latin else ():
+        seg = seg.strip() if seg and len(seg) >= 4 else ""
+        if not seg:
             continue
-        seg = seg.strip()
-        for kind, rule in STRONG.items():
-            if rule.match(seg):
-                kinds.add(kind)
-        if len(LATIN.findall(seg)) >= 2:
-            w = seg.lower().split()
+        if keyed:
+            for kind, rule in STRONG.items():
+                if rule.match(seg):
+                    kinds.add(kind)
+        if latin and len(LATIN.findall(seg)) >= 2:
+            w = seg.split()
             if len(w) >= 5 and not COMMON.intersection(w):
                 kinds.add("filler")
     if kinds:
         return sorted(kinds), False, ""
+    if len(text) > 30 * SHORT:
+        return [], False, ""
+    if not any(k in low for k in NOTICE) or ABOUT.search(low):
+        return [], False, ""
     body = words(text)
-    if len(body) > SHORT or not NOTICE.search(open_text) or ABOUT.search(open_text):
+    if len(body) > SHORT:
         return [], False, ""
     lines = [x for x in text.split("\n") if x.strip()]
     title = words(lines[0]) if len(lines) > 1 and not re.search(r"[.!?。]\s*$", lines[0]) else []
@@ -108,7 +123,8 @@ def find_residue(df: DataFrame, key: str, text: str, slug: str) -> DataFrame:
             yield pd.DataFrame(rows, columns=["k", "kinds", "masked"])
 
     source = df.select(F.col(key).alias("k"), F.col(text).alias("t"), F.lower(F.trim(F.col(slug))).alias("s")).where(r"t IS NOT NULL AND t RLIKE '\\S'")
-    found = source.mapInPandas(run, f"k {kind}, kinds array<string>, masked string")
+    # Read three times below, and few rows: kept in the shared folder, so texts are read once.
+    found = checkpointed(source.mapInPandas(run, f"k {kind}, kinds array<string>, masked string"))
     # One row for each weak body reaches the shuffle; copies are counted, never gathered.
     weak = found.where("masked IS NOT NULL")
     copied = weak.groupBy("masked").count().where(F.col("count") >= COPIES).select("masked")
