@@ -19,9 +19,14 @@ from pyspark.sql import types as T
 from scoreloom.functions.parsing import strip
 
 
+def _each(s: pd.Series, f) -> pd.Series:
+    """f of every value, as objects; missing stays missing, also where a batch holds nothing else."""
+    return pd.Series([None if x is None or x != x else f(x) for x in s], dtype=object, index=s.index)
+
+
 @F.pandas_udf(T.StringType())
 def _unescape(s: pd.Series) -> pd.Series:
-    return s.map(html.unescape, na_action="ignore")
+    return _each(s, html.unescape)
 
 
 def clean_text(c: Column, entities: bool = True) -> Column:
@@ -40,7 +45,7 @@ def fixed(digits: int):
 
     @F.pandas_udf(T.StringType())
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: f"{x:.{digits}f}", na_action="ignore")
+        return _each(s, lambda x: f"{x:.{digits}f}")
 
     return run
 
@@ -48,7 +53,7 @@ def fixed(digits: int):
 @F.pandas_udf(T.StringType())
 def significant(s: pd.Series) -> pd.Series:
     """Six significant digits, exponents as in C."""
-    return s.map(lambda x: f"{x:.6g}", na_action="ignore")
+    return _each(s, lambda x: f"{x:.6g}")
 
 
 fixed1, fixed2, fixed4 = fixed(1), fixed(2), fixed(4)
@@ -135,7 +140,7 @@ def _last_object(text: str) -> str | None:
 @F.pandas_udf(T.StringType())
 def last_json(s: pd.Series) -> pd.Series:
     """The last JSON object of a response, rendered anew; null if there is none."""
-    return s.map(_last_object, na_action="ignore")
+    return _each(s, _last_object)
 
 
 def think_block(c: Column) -> Column:
