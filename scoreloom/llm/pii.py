@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from scoreloom.llm.pii_model import TAGS, Tagger
 
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
-CHUNK = 600  # texts that are tagged together
+CHUNK = 2000  # texts that are tagged together
 
 _MAIL = re.compile(r"[\w.+'-]+ ?(?:@|\(at\)|\[at\]|\{at\}) ?\w[\w-]*(?: ?(?:\.|\(dot\)|\[dot\]|\{dot\}|\bdot\b) ?\w+)+|[\w.+'-]+ at \w[\w-]*(?: ?(?:\(dot\)|\[dot\]|\{dot\}|\bdot\b) ?\w+)+", re.I)
 _SSN = re.compile(r"(?<!\d)\d{3}([-. ])\d{2}\1\d{4}(?!\d)")

@@ -19,8 +19,8 @@ import os
 import numpy as np
 
 TAGS = ("O", "email", "phone", "id_number", "address", "name")
-WINDOW, OVERLAP = 480, 96
-BATCH_CHARS = 200_000
+WINDOW, OVERLAP = 1600, 64
+BATCH_CHARS = 600_000
 N_SYMBOLS = 103
 WEIGHTS = os.path.join(os.path.dirname(__file__), "pii_weights.npz")
 
@@ -73,14 +73,17 @@ class Tagger:
             table = weights[f"W{d}"].reshape(-1, 4, h).transpose(1, 0, 2) * gate
             loop = weights[f"U{d}"].reshape(h, 4, h).transpose(1, 0, 2) * gate * 0.5
             self.dirs.append(tuple(np.ascontiguousarray(x, np.float32) for x in (table, loop, weights[f"O{d}"] * 0.5)))
-        # What leaving O can gain in transitions.  Between two stretches that are not O, a
-        # lead of O above ``margin`` cuts them apart.  A stretch of its own pays ``entry`` and
-        # gains at most ``step`` a position, so it needs a position that leads O by -step.
-        t = self.trans
-        self.margin = float(max(0.0, (t[1:, 1:, None] + t[None, 1:, 1:]).max() - (t[1:, 0].min() + t[0, 1:].min()), (t[1:, 1:].max() - min(t[1:, 0].min(), t[0, 1:].min()))))
-        self.step = float(max(0.0, (t[1:, 1:] - t[0, 0]).max()))
+        # Bounds on what transitions can win back (see ``decode``): of one more position off O,
+        # of a stretch off O between two others, and of a stretch at one side of another.
+        t, inner = self.trans, self.trans[1:, 1:]
+        self.step = float(max(0.0, (inner - t[0, 0]).max()))
+        self.margin = float(2 * inner.max() - t[1:, 0].min() - t[0, 1:].min()) + 1e-6
         enter, leave = (t[0, 1:] - t[0, 0]).max(), (t[1:, 0] - t[0, 0]).max()
-        self.sparse = bool(enter + leave + t[0, 0] <= 0 and enter <= 0 and leave <= 0 and (self.start[1:] - self.start[0]).max() + max(leave, 0) <= 0)
+        begin = (self.start[1:] - self.start[0]).max()
+        after = (inner - t[1:, :1]).max() + max(0.0, leave)
+        ahead = (inner - t[:1, 1:]).max() + max(0.0, enter, begin)
+        self.side = float(max(after, ahead, 0.0)) + 1e-6
+        self.sparse = bool(enter + leave + self.step <= 0 and enter <= 0 and leave <= 0 and begin + max(leave, 0.0) <= 0)
 
     @classmethod
     def load(cls, path: str = WEIGHTS) -> "Tagger":
@@ -152,55 +155,67 @@ class Tagger:
     def decode(self, emissions: list[np.ndarray]) -> list[np.ndarray]:
         """Best tags of each text under the CRF.
 
-        Only runs that could hold anything but O (see ``__init__``) go through Viterbi, all runs
-        of a call together; elsewhere O is the best tag for certain.
+        Leaving O gains nothing in transitions unless some position's emissions pay for it, so any
+        stretch off O holds a seed, a position where O leads by ``step`` at most.  From a seed it
+        reaches only as far as the leads of O add up to ``side``, and it joins the next seed only
+        if the leads between add up to ``margin`` at most.  Everywhere else O is the best tag for
+        certain; the rest, all runs of a call together, goes through Viterbi.
         """
         tags = [np.zeros(len(em), np.int8) for em in emissions]
         base = np.cumsum([0] + [len(em) for em in emissions])
         if not base[-1]:
             return tags
         every = np.concatenate(emissions)
-        lead = every[:, 0] - every[:, 1:].max(1)
-        open_ = lead <= self.margin
-        here = np.flatnonzero(open_)
+        best = np.maximum(every[:, 1], every[:, 2])
+        for k in range(3, len(TAGS)):
+            np.maximum(best, every[:, k], out=best)
+        lead = every[:, 0] - best
+        seeds = np.flatnonzero(lead <= self.step if self.sparse else lead < np.inf)
         runs = []
-        if len(here):
-            fresh = np.diff(here, prepend=-2) > 1
-            text_starts = np.zeros(len(every) + 1, bool)
-            text_starts[base] = True
-            starts = np.flatnonzero(fresh | text_starts[here])
-            keep = np.minimum.reduceat(lead[here], starts) <= (self.step if self.sparse else self.margin)
-            begin = here[starts][keep]
-            end = here[np.append(starts[1:], len(here)) - 1][keep] + 1
-            of = np.searchsorted(base, begin, "right") - 1
-            runs = [(int(z - a), int(i), int(a - base[i]), int(z - base[i])) for a, z, i in zip(begin, end, of)]
+        if len(seeds):
+            of = np.searchsorted(base, seeds, "right") - 1
+            total = np.concatenate(([0.0], np.cumsum(np.maximum(lead.astype(np.float64) - self.step, 0.0))))
+            low = np.maximum(np.searchsorted(total, total[seeds] - self.side, "left"), base[of])
+            high = np.minimum(np.searchsorted(total, total[seeds + 1] + self.side, "right") - 2, base[of + 1] - 1)
+            high = np.maximum(high, seeds)
+            joins = (of[1:] == of[:-1]) & (total[seeds[1:]] - total[seeds[:-1] + 1] <= self.margin)
+            high[:-1][joins] = np.maximum(high[:-1][joins], seeds[1:][joins])
+            reach = np.maximum.accumulate(high)
+            fresh = np.concatenate(([True], (low[1:] > reach[:-1] + 1) | (of[1:] != of[:-1])))
+            first = np.flatnonzero(fresh)
+            last = np.append(first[1:], len(seeds)) - 1
+            runs = [(int(z - a + 1), int(i), int(a - base[i]), int(z - base[i] + 1)) for a, z, i in zip(low[first], reach[last], of[first])]
         runs.sort(reverse=True)
-        k, n = 0, len(TAGS)
-        while k < len(runs):
-            part = runs[k : k + max(1, 400_000 // runs[k][0])]
-            k += len(part)
+        done, n = 0, len(TAGS)
+        while done < len(runs):
+            part = runs[done : done + max(1, 400_000 // runs[done][0])]
+            done += len(part)
             size = np.array([r[0] for r in part])
             steps, m = int(size[0]), len(part)
-            em = np.zeros((steps, m, n))
+            em = np.zeros((steps, n, m))
             for j, (z, i, a, b) in enumerate(part):
-                em[:z, j] = emissions[i][a:b]
-            first = np.array([r[2] == 0 for r in part])[:, None]
-            last = np.array([r[3] == len(emissions[r[1]]) for r in part])[:, None]
-            score = np.where(first, self.start, self.trans[0]) + em[0]
-            back = np.empty((steps, m, n), np.int8)
+                em[:z, :, j] = emissions[i][a:b]
+            first = np.array([r[2] == 0 for r in part])
+            last = np.array([r[3] == len(emissions[r[1]]) for r in part])
+            score = np.where(first, self.start[:, None], self.trans[0][:, None]) + em[0]
+            back = np.zeros((steps, n, m), np.int8)
             active = (size[None, :] > np.arange(steps)[:, None]).sum(1)
             for t in range(1, steps):
                 q = active[t]
-                s = score[:q, :, None] + self.trans
-                back[t, :q] = s.argmax(1)
-                score[:q] = s.max(1) + em[t, :q]
-            best = (score + np.where(last, 0.0, self.trans[:, 0])).argmax(1)
+                now = score[:, :q]
+                top, from_ = now[0] + self.trans[0][:, None], back[t, :, :q]
+                for k in range(1, n):
+                    other = now[k] + self.trans[k][:, None]
+                    np.copyto(from_, k, where=other > top)
+                    np.maximum(top, other, out=top)
+                score[:, :q] = top + em[t, :, :q]
+            best = (score + np.where(last, 0.0, self.trans[:, :1])).argmax(0)
             path = np.zeros((steps, m), np.int8)
             for t in range(steps - 1, -1, -1):
                 q = active[t]
                 path[t, :q] = best[:q]
                 if t:
-                    best[:q] = back[t, np.arange(q), best[:q]]
+                    best[:q] = back[t, best[:q], np.arange(q)]
             for j, (z, i, a, b) in enumerate(part):
                 tags[i][a:b] = path[:z, j]
         return tags
