@@ -100,30 +100,34 @@ def classification_columns(tp="tp", fp="fp", tn="tn", fn="fn") -> dict[str, Colu
     }
 
 
-def at_thresholds(table: DataFrame, thresholds: list[float], by: list[str] | None = None) -> DataFrame:
-    """(by..., threshold, tp, fp, tn, fn) for each threshold; a score of the threshold is rejected.
+def gap_counts(table: DataFrame, thresholds: list[float], by: list[str] | None = None) -> tuple[DataFrame, list[float]]:
+    """(by..., gap, n, pos) of the gaps between sorted thresholds, and those thresholds.
 
-    Scores fall into the gaps between sorted thresholds (a binary search for each distinct score);
-    the few gap counts are then summed from the top.  No row meets a threshold twice.
+    Gap i holds the scores that reach i thresholds; each distinct score is placed by binary search.
     """
-    by = by or []
+    from pyspark.ml.feature import Bucketizer
+
     grid = sorted(set(map(float, thresholds)))
     if not grid:
         raise ValueError("no thresholds")
-    found = F.expr(f"array_position(transform(array({','.join(map(repr, grid))}), t -> score >= t), false)") if len(grid) <= 8 else None
-    if found is not None:
-        gap = F.when(found == 0, len(grid)).otherwise(found - 1)
-        binned = table.withColumn("gap", gap)
-    else:
-        from pyspark.ml.feature import Bucketizer
-
-        binned = Bucketizer(splits=[float("-inf"), *grid, float("inf")], inputCol="score", outputCol="gap").transform(table)
-    gaps = binned.groupBy(*by, F.col("gap").cast("int").alias("gap")).agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
-    whole = gaps.groupBy(*by).agg(F.sum("n").alias("n_all"), F.sum("pos").alias("pos_all"), F.map_from_entries(F.collect_list(F.struct("gap", F.struct("n", "pos").alias("c")))).alias("gaps"))
-    indexed = F.array(*[F.struct(F.lit(i + 1).alias("i"), F.lit(t).alias("threshold")) for i, t in enumerate(grid)])
-    rows = whole.select(*by, "n_all", "pos_all", F.explode(indexed).alias("g"), "gaps")
-    above = lambda f: F.aggregate(F.filter(F.map_entries("gaps"), lambda e: e["key"] >= F.col("g.i")), F.lit(0).cast("long"), lambda a, e: a + e["value"][f])
-    rows = rows.select(*by, F.col("g.threshold").alias("threshold"), above("pos").alias("tp"), above("n").alias("rejected"), "n_all", "pos_all")
+    binned = Bucketizer(splits=[float("-inf"), *grid, float("inf")], inputCol="score", outputCol="_gap").transform(table)
+    return binned.groupBy(*(by or []), F.col("_gap").cast("int").alias("gap")).agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")), grid
+
+
+def at_thresholds(table: DataFrame, thresholds: list[float], by: list[str] | None = None) -> DataFrame:
+    """(by..., threshold, tp, fp, tn, fn) for each threshold; a score of the threshold is rejected.
+
+    The gap counts, one short row for each gap, are summed from the top in a window of their own
+    size.  No row meets a threshold twice.
+    """
+    by = by or []
+    gaps, grid = gap_counts(table, thresholds, by)
+    groups = gaps.groupBy(*by).agg(F.sum("n").alias("n_all"), F.sum("pos").alias("pos_all"))
+    frame = groups.select("*", F.posexplode(F.array(*map(F.lit, grid))).alias("_i", "threshold")).withColumn("gap", F.col("_i") + 1)
+    over = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    filled = frame.join(gaps, [*by, "gap"], "left").withColumns({"n": F.coalesce("n", F.lit(0)), "pos": F.coalesce("pos", F.lit(0))})
+    down = over.orderBy(F.desc("gap"))
+    rows = filled.select(*by, "threshold", "n_all", "pos_all", F.sum("n").over(down).alias("rejected"), F.sum("pos").over(down).alias("tp"))
     return rows.select(*by, "threshold", "tp", (F.col("rejected") - F.col("tp")).alias("fp"), (F.col("n_all") - F.col("pos_all") - F.col("rejected") + F.col("tp")).alias("tn"), (F.col("pos_all") - F.col("tp")).alias("fn"))
 
 

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,18 +59,28 @@ def categories(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def correlations(df: DataFrame, columns: list[str], target: str | None = None) -> DataFrame:
-    """(a, b, r) for each pair (and each column with the target), pairwise complete, one aggregate.
+    """(a, b, r) for each pair (and each column with the target), over rows that have both values.
 
-    r is null where a column does not vary.
+    Each Arrow batch adds to sums of products of values and of presence, a few matrix products; one
+    small row for each pair and task is shuffled.  r is null where a column does not vary.
     """
-    clean = {c: F.when(~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) < 1e300), F.col(c).cast("double")) for c in [*columns, *([target] if target else [])]}
-    pairs = [*combinations(columns, 2), *([(c, target) for c in columns] if target else [])]
-    exprs = []
-    for i, (a, b) in enumerate(pairs):
-        x, y = (F.when(clean[a].isNotNull() & clean[b].isNotNull(), v) for v in (clean[a], clean[b]))
-        exprs.append(F.try_divide(F.covar_pop(x, y), F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))).alias(f"r{i}"))
-    row = df.agg(*exprs)
-    return row.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)])).alias("x")).select("x.*")
+    names = [*columns, *([target] if target else [])]
+    pairs = [*combinations(range(len(columns)), 2), *([(i, len(columns)) for i in range(len(columns))] if target else [])]
+
+    def sums(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((6, len(names), len(names)))
+        for part in parts:
+            x = part.to_numpy(dtype=float)
+            has = (np.isfinite(x) & (np.abs(x) < 1e150)).astype(float)
+            x = np.where(has > 0, x, 0.0)
+            total += [has.T @ has, x.T @ has, has.T @ x, (x * x).T @ has, has.T @ (x * x), x.T @ x]
+        yield pd.DataFrame([(names[i], names[j], *total[:, i, j]) for i, j in pairs], columns=["a", "b", "n", "x", "y", "xx", "yy", "xy"])
+
+    values = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(names)])
+    s = values.mapInPandas(sums, "a string, b string, n double, x double, y double, xx double, yy double, xy double").groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+    n, x, y = F.col("n"), F.col("x"), F.col("y")
+    spread = lambda v, vv: F.when(n * vv - v * v > 1e-12 * n * vv, n * vv - v * v)
+    return s.select("a", "b", F.try_divide(n * F.col("xy") - x * y, F.sqrt(spread(x, F.col("xx")) * spread(y, F.col("yy")))).alias("r"))
 
 
 def prune(columns: list[str], pair: dict[tuple[str, str], float | None], with_target: dict[str, float | None], missing: dict[str, float], limit: float = 0.98) -> list[str]:

@@ -51,8 +51,17 @@ class Point:
 
 
 def points(table: DataFrame, grid: list[float]) -> list[Point]:
-    rows = scores.at_thresholds(table, grid).orderBy("threshold").collect()
-    return [Point(r.threshold, r.tp, r.fp, r.tn, r.fn) for r in rows]
+    """Confusion counts of every threshold, from the collected gap counts (one row for each gap)."""
+    gaps, cuts = scores.gap_counts(table, grid)
+    found = {r.gap: (r.n, r.pos) for r in gaps.collect()}
+    if not found:
+        return []
+    n, pos = (sum(v[k] for v in found.values()) for k in (0, 1))
+    out, rejected, tp = [], 0, 0
+    for i in range(len(cuts), 0, -1):
+        rejected, tp = rejected + found.get(i, (0, 0))[0], tp + found.get(i, (0, 0))[1]
+        out.append(Point(cuts[i - 1], tp, rejected - tp, n - pos - rejected + tp, pos - tp))
+    return out[::-1]
 
 
 def _close(a: float, b: float) -> bool:
