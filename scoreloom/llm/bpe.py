@@ -165,8 +165,8 @@ class Encoder:
             i = end[i]
         return tuple(ids)
 
-    def encode(self, texts: list[str | None]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of each text, and the code-point offset at which each id's slice starts."""
+    def encode(self, texts: list[str | None], offsets: bool = True) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids of each text, and (if asked for) the code-point offset at which each id's slice starts."""
         joined = "\x00".join(t or "" for t in texts)
         sizes = np.array([len(t or "") for t in texts], np.int64)
         cps = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -181,24 +181,26 @@ class Encoder:
         ids_of, offsets_of, k = [], [], 0
         for base, size, stop in zip(text_start.tolist(), sizes.tolist(), upto.tolist()):
             ids: list[int] = []
-            offsets: list[int] = []
+            starts: list[int] = []
             end = base + size
             while k < stop:
                 a = cuts[k]
                 k += 1
                 if a >= end:  # the separator
                     continue
-                piece = joined[a : min(cuts[k], end)]
+                b = cuts[k]
+                piece = joined[a : b if b < end else end]
                 got = cache.get(piece)
                 if got is None:
                     got = self.merge(piece.encode("utf-8", "replace"))
                     if len(cache) >= limit:
                         cache.clear()
                     cache[piece] = got
-                ids.extend(got)
-                offsets.extend([a - base] * len(got))
+                ids += got
+                if offsets:
+                    starts += [a - base] * len(got)
             ids_of.append(ids)
-            offsets_of.append(offsets)
+            offsets_of.append(starts)
         return ids_of, offsets_of
 
     def decode(self, ids: list[int]) -> str:
@@ -221,7 +223,7 @@ def encode_corpus(df: DataFrame, key: str, text: str, path: str, offsets: bool =
             texts = part.column(1).to_pylist()
             ids, offs = [], []
             for a in range(0, len(texts), 512):
-                i, o = encoder.encode(texts[a : a + 512])
+                i, o = encoder.encode(texts[a : a + 512], offsets)
                 ids += i
                 offs += o
             columns = [part.column(0), pa.array(ids, pa.list_(pa.int32()))]

@@ -115,6 +115,33 @@ def varied(text: str, spans: list, rng: np.random.Generator) -> tuple[str, list]
     return (changed, moved) if len(changed) == len(text) else (text, moved)
 
 
+def sentences(data: list) -> tuple[list, list]:
+    """(sentences with items, sentences without) of labelled texts, where no span is cut."""
+    rich, plain = [], []
+    for text, spans in data:
+        cuts = [0, *(m.end() for m in re.finditer(r"(?<=[.!?>])\s+|\n+", text) if all(not a < m.end() < b for a, b, _ in spans)), len(text)]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            own = [(x - a, y - a, k) for x, y, k in spans if a <= x and y <= b and k != "O"]
+            if b - a > 2:
+                (rich if own else plain).append((text[a:b].rstrip(), own))
+    return rich, plain
+
+
+def spliced(pool: tuple[list, list], n: int, rng: np.random.Generator) -> list:
+    """Texts of sentences from different texts, so that an item is met in any neighbourhood."""
+    rich, plain = pool
+    out = []
+    for _ in range(n if rich and plain else 0):
+        text, spans = "", []
+        for _ in range(rng.integers(2, 6)):
+            part, own = rich[rng.integers(len(rich))] if rng.random() < 0.45 else plain[rng.integers(len(plain))]
+            text += ("" if not text else "\n" if rng.random() < 0.08 else "<br>" if rng.random() < 0.04 else " ")
+            spans += [(a + len(text), b + len(text), k) for a, b, k in own]
+            text += part
+        out.append((text, spans))
+    return out
+
+
 def batches(data: list, rng: np.random.Generator, size: int):
     """Windows of equal length from changed texts, around an item where there is one."""
     rows = []
@@ -215,6 +242,7 @@ def _crf(em, tags, mask, trans, start):
 def train(data: list, epochs: int = 30, size: int = 192, seed: int = 7, log=print, start: dict | None = None, top: float = 0.008) -> dict[str, np.ndarray]:
     """Adam on the CRF loss of windows; returns the weights.  start: weights to go on from."""
     rng = np.random.default_rng(seed)
+    pool = sentences(data)
     h, k = HIDDEN, len(TAGS)
     p = {}
     for d in "fb":
@@ -227,7 +255,7 @@ def train(data: list, epochs: int = 30, size: int = 192, seed: int = 7, log=prin
     m, v, step = {a: np.zeros_like(b) for a, b in p.items()}, {a: np.zeros_like(b) for a, b in p.items()}, 0
     for epoch in range(epochs):
         rate, total, seen = top * 0.5 * (1 + np.cos(np.pi * epoch / epochs)) + 2e-4, 0.0, 0
-        for x, tags, sizes in batches(data, rng, size):
+        for x, tags, sizes in batches(data + spliced(pool, len(data) // 3, rng), rng, size):
             n = len(sizes)
             steps = np.arange(LENGTH)[:, None]
             mask = steps < sizes[None]
