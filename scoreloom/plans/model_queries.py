@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from scoreloom import scorers
-from scoreloom.functions import parsing, texts
+from scoreloom.functions import parsing, registry, texts
 from scoreloom.operators import features, profiles, reports, scores, splits, thresholds
 from scoreloom.plans.tables import CATEGORICAL, NUMERIC, SCORED, accepted, clean_sql, scored, split_rows, table
 
@@ -433,6 +433,24 @@ def sft_two_stage(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(ID, both.alias("b")).select(ID, "b.stage", F.col("b.s.conversations")[1]["value"].alias("answer"))
 
 
+@query("""SELECT _shared_row_id, target, CASE target WHEN 1 THEN 'reject' ELSE 'approve' END AS expected_action, CASE WHEN desc_clean IS NULL OR trim(desc_clean) = '' THEN 'dropped' ELSE 'kept' END AS status,
+  CASE WHEN desc_clean IS NULL OR trim(desc_clean) = '' THEN 'no_text' ELSE 'ok' END AS reason FROM shared_split WHERE split = 'train_fit'""")
+def sft_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """Every row that training samples were made from, kept or dropped, and why."""
+    empty = F.coalesce(parsing.strip(F.col("desc_clean")) == "", F.lit(True))
+    rows = split_rows(spark, sf).where("split = 'train_fit'")
+    return rows.select(ID, "target", F.when(F.col("target") == 1, "reject").otherwise("approve").alias("expected_action"), F.when(empty, "dropped").otherwise("kept").alias("status"), F.when(empty, "no_text").otherwise("ok").alias("reason"))
+
+
+@query("SELECT s._shared_row_id, CASE WHEN lower(a.emp_length) LIKE '%< 1%' THEN 0.5 ELSE try_cast(nullif(regexp_extract(a.emp_length, '([0-9]+)', 1), '') AS DOUBLE) END AS emp_years, try_cast(nullif(regexp_extract(a.issue_d, '((19|20)[0-9]{2})', 1), '') AS INTEGER) AS year FROM shared_split s JOIN accepted_2007_to_2018q4 a USING (_shared_row_id)")
+def sql_functions(spark: SparkSession, sf: str) -> DataFrame:
+    """The registered functions, called from SQL."""
+    registry.register(spark)
+    accepted(spark, sf).createOrReplaceTempView("scoreloom_accepted")
+    split_rows(spark, sf).createOrReplaceTempView("scoreloom_split")
+    return spark.sql(f"SELECT s.{ID}, emp_length_years(a.emp_length) AS emp_years, issue_year(a.issue_d) AS year FROM scoreloom_split s JOIN scoreloom_accepted a USING ({ID})")
+
+
 @query("""WITH d AS (SELECT _shared_row_id, (_shared_row_id % 41 - 20) / 4.0 AS delta FROM shared_split) SELECT _shared_row_id, round(delta, 6) AS delta, round(1 / (1 + exp(-delta)), 6) AS prob, CASE WHEN delta >= 0 THEN 'reject' ELSE 'approve' END AS action FROM d""")
 def logprob_decision(spark: SparkSession, sf: str) -> DataFrame:
     d = ((F.col(ID) % 41 - 20) / 4.0).alias("delta")

@@ -56,3 +56,11 @@ def test_feature_text_round_trip(spark):
 def test_tags():
     assert [p.ratio_tag(x) for x in (1, 0.05, 0.001)] == ["full", "5pct", "0_1pct"]
     assert [p.slug(x) for x in ("Model3-0.6B", "--")] == ["model3_0_6b", "custom_model"]
+
+
+def test_registered_functions(spark):
+    from scoreloom.functions import registry
+
+    assert "issue_year" in registry.register(spark)
+    row = spark.sql("SELECT issue_year('Dec-2015') a, emp_length_years('< 1 year') b, last_json('x {\"k\": 1}') c, format_fixed1(21.15D) d, strip_text(' x ') e, gap_state(0.36D, 0.35D) f, think_block('<think> </think>') g").first()
+    assert tuple(row) == (2015, 0.5, '{"k": 1}', "21.1", "x", "stable", None)
