@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from scoreloom.llm.pii_model import TAGS, Tagger
 
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}
+# Function words; a span of nothing else is no name.
+NO_NAME = frozenset("a all an and any as at but by each every for from god bless he her here hi his i if in is it its me my no of on or our she so some thank thanks that the their them there they this to us was we who with you your".split())
 CHUNK = 2000  # texts that are tagged together
 
 _MAIL = re.compile(r"[\w.+'-]+ ?(?:@|\(at\)|\[at\]|\{at\}) ?\w[\w-]*(?: ?(?:\.|\(dot\)|\[dot\]|\{dot\}|\bdot\b) ?\w+)+|[\w.+'-]+ at \w[\w-]*(?: ?(?:\(dot\)|\[dot\]|\{dot\}|\bdot\b) ?\w+)+", re.I)
@@ -35,7 +37,7 @@ def plausible(item: str, kind: str) -> bool:
         return digits >= 6
     if kind == "address":
         return digits >= 1 and bool(_LETTER.search(item))
-    return len(_LETTER.findall(item)) >= 2
+    return len(_LETTER.findall(item)) >= 2 and not NO_NAME.issuperset(re.findall(r"\w+", item.lower()))
 
 
 def parts_of(text: str, a: int, b: int, kind: str) -> list[tuple[int, int]]:
