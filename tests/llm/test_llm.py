@@ -181,6 +181,14 @@ def test_hot_stock_wording_is_read_deeper(spark):
     assert [tuple(x) for x in overlap.cross_split_overlaps(df, "id", "t", "split", "train_fit").collect()] == [(7, 100)]
 
 
+def test_large_family_of_near_copies_is_paired_whole(spark):
+    base = [f"w{j}" for j in range(100)]
+    rows = [(i, "train_fit" if i % 2 else "test", " ".join([*base[: i // 2], f"own{i}", *base[i // 2 + 1 :]])) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, split string, t string")
+    got = [tuple(x) for x in overlap.cross_split_overlaps(df, "id", "t", "split", "train_fit").collect()]
+    assert len(got) == 10_000 and set(got) == {(min(i, j), max(i, j)) for i in range(0, 200, 2) for j in range(1, 200, 2)}
+
+
 def test_common_subsequence():
     r = random.Random(1)
     for _ in range(50):
