@@ -41,8 +41,7 @@ def _eligible(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    _, report = quota_sample.plan(_eligible(spark, sf), _table(spark, sf, "sample_targets"), "load_no", ("grade", "target"))
-    return report.where("NOT met").select("load_no", "dimension", "category")
+    return p4_report(spark, sf).where("NOT met").select("load_no", "dimension", "category")
 
 
 P4_FOUND = """
@@ -68,7 +67,10 @@ def p4_sample(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_report(spark: SparkSession, sf: str) -> DataFrame:
-    return quota_sample.plan(_eligible(spark, sf), _table(spark, sf, "sample_targets"), "load_no", ("grade", "target"))[1]
+    eligible, dims = overlap.kept(_eligible(spark, sf)), ("grade", "target")
+    quota, report = quota_sample.plan(eligible, _table(spark, sf, "sample_targets"), "load_no", dims)
+    quota = overlap.kept(quota)
+    return quota_sample.judged(report, quota, quota_sample.draw(eligible, quota, "load_no", dims, "loan_id"), "load_no", dims)
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 1024
@@ -162,3 +162,19 @@ def draw(eligible: DataFrame, quota: DataFrame, group: str, dims: tuple[str, str
     last = counts.withColumn("_before", F.sum("_n").over(upto) - F.col("_n")).join(wanted, by).where("_before < _quota").groupBy(*by, "_quota").agg(F.max("_bucket").alias("_last"))
     rank = F.row_number().over(Window.partitionBy(*by).orderBy("_key", "_id"))
     return keyed.join(last, by).where("_bucket <= _last").withColumn("_rank", rank).where("_rank <= _quota").select("_row.*")
+
+
+def judged(report: DataFrame, quota: DataFrame, drawn: DataFrame, group: str, dims: tuple[str, str]) -> DataFrame:
+    """The report with each category's ``rounded`` quota and ``drawn`` records, judged by them.
+
+    A category of which enough was drawn is met.  One of which less was drawn gave way to the other
+    dimension, or fell short: the eligible records against the unrounded target decide.
+    """
+
+    def margins(df: DataFrame, n: Column, name: str) -> DataFrame:
+        sides = [df.groupBy(group, F.lit(d).alias("dimension"), F.col(d).alias("category")).agg(n.alias(name)) for d in dims]
+        return sides[0].unionByName(sides[1])
+
+    by = [group, "dimension", "category"]
+    both = report.drop("met").join(margins(quota, F.sum("quota"), "rounded"), by, "left").join(margins(drawn, F.count(F.lit(1)), "drawn"), by, "left").fillna(0, ["rounded", "drawn"])
+    return both.withColumn("met", (F.col("drawn") >= F.col("asked") - 1e-9) | (F.col("eligible") >= F.col("asked") - 1e-9))

@@ -138,6 +138,13 @@ def test_sample_meets_quotas(spark):
     assert none.count() == 0 and report.where("NOT met").count() == 5
 
 
+def test_shortfall_comes_from_the_drawn_sample(spark, data):
+    rows = q.p4_report(spark, data).collect()
+    assert any(x.drawn for x in rows) and all(x.drawn == x.rounded <= x.eligible for x in rows)
+    short = {(x.load_no, x.dimension, x.category) for x in rows if x.drawn < x.asked - 1e-9 and x.eligible < x.asked - 1e-9}
+    assert {tuple(x) for x in q.p4_found(spark, data).collect()} == short
+
+
 # --- overlaps -----------------------------------------------------------------------------------------
 
 
