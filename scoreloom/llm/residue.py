@@ -3,7 +3,7 @@
 A text is read as its address slug (the source it came from), its title (an HTML title, or a first
 line that is no sentence) and body segments.  Strong detectors look at single segments and fire only
 where the residue *is* the segment: it opens it, outside quotation marks, and no word says that the
-segment talks about residue.  Weak signs (a title or slug that shares no term with the body, a short
+segment talks about residue.  Weak signs (a title or slug that shares no term with a
 body with a notice word) count only with evidence from the host: the same masked body, without its
 numbers, delivered in several records.
 """
@@ -49,14 +49,17 @@ STRONG = {k: re.compile(r"\W{0,3}(?:" + "|".join(v) + ")") for k, v in (("filler
 ERROR_JSON = re.compile(r"""(?:^|[\n>]|[.!?。]\s)\s*\{\s*"(?:status|error|code)"\s*:\s*(?:"error|"fail|true|[45]\d\d)""")
 LATIN = re.compile(r"\b(?:lorem|ipsum|dolor\w*|sit|amet\w*|nec|sed\w*|tellus\w*|pellat\w*|ornav\w*|ferma\w*|vulpar\w*|consect\w*|adipisc\w*|elit|[cq]uorem|corem|maur\w*)\b")
 COMMON = frozenset("the a an of to and in is was for on with that this by it at are were from as be or not i my we our you de la el los las que con por para una un en y es".split())
+# Words by which a sentence speaks of slots as such; the others of ABOUT are everyday words beside a slot.
+NAMED = re.compile(r"\b(?:templates?|placeholders?|fields?|curly braces|the word)\b")
+# Slots that say of themselves what is missing; rules, tags and braces alone may be layout or code.
+LONE = re.compile(r"\W{0,3}(?:\{\{\s*[\w. ]+?\s*\}\}|\$\{\s*[\w. ]+?\s*\}|\[\[\s*[\w. ]+?\s*\]\]|<<\s*[\w. ]+?\s*>>|%%[\w. ]+?%%|@@[\w. ]+?@@|\[(?:your|insert|enter|add)\b[^\]\n]*\]|\[[^\]\n]{2,40} here\]|\*\|[\w. ]+?\|\*)\W{0,3}")
 ABOUT = re.compile(r"\b(?:template|placeholders?|curly braces|quoted|greeting|drafts?|printed|reported|plan|the word|wrote|guide|prompt|checks|raised|said|counted|borrowers)\b")
 QUOTED = re.compile(r"(?<!\w)'[^'\n]{1,200}'(?!\w)|\"[^\"\n]{1,200}\"|“[^”\n]{1,200}”|‘[^’\n]{1,200}’|`[^`\n]{1,200}`")
 NOTICE = ["javascript", "scripts", "script ", "browser", "cookies", "captcha", "unavailable", "not found", "error", "expired", "placeholder", "lorem", "sign in", "log in", "try again", "navegador", "no existe", "浏览器", "脚本", "错误"]
 # Every slot holds one of these.
 SLOT_KEYS = ["{", "[", "<", "«", "__", "%%", "@@", "#", "$x", "xx/", "*|"]
 SENTENCE = re.compile(r"(?<=[.!?。！？])(?:\s+|(?=[一-鿿]))|[\n\r\u2028\u2029\x0b\x0c]+|\s*</(?:title|head|body|p|h\d)>\s*|\s*<(?:html|head|title|body|p|h\d)>\s*")
-SLOTS = 2  # unquoted slots that make a text an unfilled template
-SHORT = 40  # words of a low-information body
+SLOTS = 2  # unquoted slots that make a text an unfilled template; one is enough where it is the whole segment
 COPIES = 3  # records that make a masked body host evidence
 
 
@@ -71,7 +74,9 @@ def signs(text: str, slug: str | None) -> tuple[list[str], bool, str]:
     if any(k in low for k in SLOT_KEYS) and SLOT.search(low):
         segments = SENTENCE.split(low)
         for seg in segments:
-            if seg and not ABOUT.search(SLOT.sub(" ", seg)):
+            if seg and LONE.fullmatch(seg.strip()):
+                kinds.add("template")
+            elif seg and not NAMED.search(SLOT.sub(" ", seg)):
                 slots += len(SLOT.findall(seg)) + len(re.findall(r"\b(?:undefined|nan)\b", seg))
         if slots >= SLOTS:
             kinds.add("template")
@@ -90,13 +95,9 @@ def signs(text: str, slug: str | None) -> tuple[list[str], bool, str]:
                 kinds.add("filler")
     if kinds:
         return sorted(kinds), False, ""
-    if len(text) > 30 * SHORT:
-        return [], False, ""
     if not any(k in low for k in NOTICE) or ABOUT.search(low):
         return [], False, ""
     body = words(text)
-    if len(body) > SHORT:
-        return [], False, ""
     lines = [x for x in text.split("\n") if x.strip()]
     title = words(lines[0]) if len(lines) > 1 and not re.search(r"[.!?。]\s*$", lines[0]) else []
     rest = set(words("\n".join(lines[1:]))) if title else set(body)

@@ -320,6 +320,22 @@ def test_no_residue(text):
     assert not residue.signs(text, "s")[0]
 
 
+@pytest.mark.parametrize("text", ["Dear {{name}}, your repayment plan of {{amount}} starts on {{date}}.", "[Insert applicant statement here]", "As we said, {{borrower}} raised {{amount}}.", "A sound sentence.\n{{ body }}\n"])
+def test_unfilled_slots_beside_everyday_words(text):
+    assert residue.signs(text, "s")[0] == ["template"]
+
+
+@pytest.mark.parametrize("text", ["The placeholder {{name}} and the field {{date}} were dropped.", "The old letter began with '[Insert name here]'.", "One part\n____\nand the next"])
+def test_slots_that_are_spoken_of(text):
+    assert not residue.signs(text, "s")[0]
+
+
+def test_host_evidence_for_long_bodies(spark):
+    rows = [(i, "The page showed an error and nothing else here " + "and on it went without an end " * 60 + str(i), "d") for i in range(3)]
+    df = spark.createDataFrame(rows, "id long, t string, src string")
+    assert {r.id for r in residue.find_residue(df, "id", "t", "src").collect()} == {0, 1, 2}
+
+
 def test_residue_edges_and_host_evidence(spark):
     weak = "The page showed an error and nothing else here"
     rows = [(1, None, None), (2, "", "a"), (3, "  \n", "a"), (4, "Oops! Gone.", None), (4, "Oops! Gone.", None), (None, "Oops! Gone.", "b"), (7, LONG, "c"), (8, LONG + ". 404 - Page not found", "c"), *[(20 + i, f"{weak} {i}", "d") for i in range(3)], (30, weak.replace("page", "sheet"), "d")]
