@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from scoreloom.llm.wording import aligned, placed_words, plain, words
 
 BLOCK_WORDS = 400_000
-STOCK_ITEMS = 3  # a line of that many items is stock
+STOCK_ITEMS = 3  # a line of that many different item texts is stock
 RUN, SPECIFIC = 3, 5  # words of a match that counts, and of one that makes a candidate
 GAP = 10  # words between chained matches
 COVERAGE, FACTS = 0.5, 0.6
@@ -33,7 +33,7 @@ CANDIDATE = 0.2  # coverage by exact matches from which the alignment is compute
 
 
 def own_wording(items: list[tuple[int, str | None]]) -> dict[int, list[str]]:
-    """Words of each item without the lines that at least STOCK_ITEMS items share.
+    """Words of each item without the lines that at least STOCK_ITEMS different texts share.
 
     Null, empty and all-stock items have no wording and are left out.  Of items with the same id,
     the first in order of text counts.
@@ -42,7 +42,7 @@ def own_wording(items: list[tuple[int, str | None]]) -> dict[int, list[str]]:
     for item, text in sorted(items, key=lambda x: (x[0], x[1] or "")):
         if text and item not in lines:
             lines[item] = [w for line in text.split("\n") if (w := tuple(words(line)))]
-    holders = Counter(line for own in lines.values() for line in set(own))
+    holders = Counter(line for own in {tuple(own) for own in lines.values()} for line in set(own))
     return {i: w for i, own in lines.items() if (w := [x for line in own if holders[line] < STOCK_ITEMS for x in line])}
 
 
@@ -131,7 +131,8 @@ class Automaton:
             if max(r[2] for r in runs) < min(SPECIFIC, len(own)):
                 continue
             runs.sort()
-            best: tuple[int, int, int] | None = None
+            least = CANDIDATE * len(own)
+            tried: dict[int, tuple[int, int]] = {}  # from: best (covered, to) of the chains that start there
             chains: list[list[int]] = []  # covered, from, to, next in item, next in text
             for at, pos, n in runs:
                 pick = None
@@ -140,34 +141,60 @@ class Automaton:
                     if cut < n and at - c[4] <= GAP and -n < pos - c[3] <= 3 * GAP and (pick is None or c[0] - cut > pick[0]):
                         pick = (c[0] - cut, c)
                 chains.append([n + (pick[0] if pick else 0), pick[1][1] if pick else at, at + n, pos + n, at + n])
-                if best is None or chains[-1][0] > best[0]:
-                    best = (chains[-1][0], chains[-1][1], chains[-1][2])
+                covered, start, end = chains[-1][:3]
+                if covered >= least and covered > tried.get(start, (0, 0))[0]:
+                    tried[start] = (covered, end)
                 if len(chains) > 64:
                     chains = [c for c in chains if at - c[4] <= GAP]
-            if best[0] < CANDIDATE * len(own):
-                continue
-            slack = len(own) - best[0] + GAP
-            a, b = max(0, best[1] - slack), min(len(text), best[2] + slack)
-            pairs = aligned(own, text[a:b])
-            pairs = _one_stretch(pairs)
+            best: tuple[int, float, int, int] | None = None
+            for window in _windows(tried, len(own), len(text)):
+                hit = self._held(item, text, *window)
+                if hit and (best is None or hit[1] > best[1]):
+                    best = hit
+                if best and best[1] == 1:
+                    break
+            if best:
+                out.append(best)
+        return out
+
+    def _held(self, item: int, text: list[str], a: int, b: int) -> tuple[int, float, int, int] | None:
+        """The best stretch of a window that holds enough of the item's wording and facts."""
+        own = self.texts[item]
+        for pairs in sorted(_stretches(aligned(own, text[a:b])), key=len, reverse=True):
             if len(pairs) < COVERAGE * len(own):
-                continue
-            inside = own[pairs[0][0] : pairs[-1][0] + 1]
-            mass = sum(self.weight[w] for w in inside)
+                return None
+            mass = sum(self.weight[w] for w in own[pairs[0][0] : pairs[-1][0] + 1])
             if sum(self.weight[own[i]] for i, _ in pairs) >= FACTS * mass:
-                out.append((item, len(pairs) / len(own), a + pairs[0][1], a + pairs[-1][1] + 1))
-        return out
+                return item, len(pairs) / len(own), a + pairs[0][1], a + pairs[-1][1] + 1
+        return None
+
 
+def _windows(chains: dict[int, tuple[int, int]], own: int, size: int) -> list[tuple[int, int]]:
+    """Windows of a text to align with an item: every chain with room for what it lacks.
 
-def _one_stretch(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The longest part of an alignment without a gap of more than GAP words in the text."""
+    Where the room reaches into another chain, the window cut off at that chain is tried as well, so
+    that one stretch doesn't take the alignment from its neighbour.
+    """
+    out: dict[tuple[int, int], None] = {}
+    for start, (covered, end) in sorted(chains.items(), key=lambda x: -x[1][0]):
+        room = own - covered + GAP
+        a, b = max(0, start - room), min(size, end + room)
+        out[a, b] = None
+        low = max([a, *(e for e in (e for _, e in chains.values()) if e <= start)])
+        high = min([b, *(s for s in chains if s >= end)])
+        out[low, high] = None
+    return list(out)
+
+
+def _stretches(pairs: list[tuple[int, int]]) -> list[list[tuple[int, int]]]:
+    """The parts of an alignment without a gap of more than GAP words in the text."""
     parts, cur = [], []
     for p in pairs:
         if cur and p[1] - cur[-1][1] > GAP + 1:
             parts.append(cur)
             cur = []
         cur.append(p)
-    return max([*parts, cur], key=len, default=[])
+    return [*parts, cur] if cur else parts
 
 
 def blocks(own: dict[int, list[str]]) -> list[dict[int, list[str]]]:

@@ -266,6 +266,22 @@ def test_leaks(spark):
     assert leakage.find_leaks(df.limit(0), "doc", "t", items, "item_id", "text").count() == 0
 
 
+def test_later_stretch_is_checked_where_an_earlier_one_has_other_facts():
+    full = ITEMS[0][1].split("\n")[1]
+    other = full.replace("Tarnby", "Velden").replace("14", "88").replace("July 2011", "April 1999").replace("7 percent", "61 percent").replace("$1450", "$8850")
+    true = " ".join(full.replace("oldest", "oldets").replace("transfer", "transfre").replace("doubles", "doubels").replace("commute", "comute").replace("lists", "lsits").split()[:26])
+    auto = leakage.Automaton(leakage.own_wording(ITEMS))
+    assert not [x for x in auto.leaks(words(other)) if x[0] == 0] and [x for x in auto.leaks(words(true)) if x[0] == 0]
+    for between in (" ", " and then " + "filler " * 300):
+        assert [x[0] for x in auto.leaks(words(other + between + true)) if x[0] == 0] == [0]
+
+
+def test_items_with_equal_texts_are_all_reported(spark):
+    items = spark.createDataFrame([*ITEMS, (70, ITEMS[0][1]), (71, ITEMS[0][1])], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "Before. " + ITEMS[0][1] + " After.")], "doc long, t string")
+    assert sorted(r.item_id for r in leakage.find_leaks(docs, "doc", "t", items, "item_id", "text").collect()) == [0, 70, 71]
+
+
 def test_automaton_finds_longest_matches():
     r = random.Random(2)
     texts = {i: [r.choice("abc") for _ in range(40)] for i in range(5)}
