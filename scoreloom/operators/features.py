@@ -152,8 +152,8 @@ def logistic(features: str = "features", target: str = "target", weight: str = "
     return LogisticRegression(featuresCol=features, labelCol=target, weightCol=weight, regParam=1.0 / max(total_weight, 1e-9), elasticNetParam=0.0, standardization=False, maxIter=200)
 
 
-def boosted(features: str = "features", target: str = "target", weight: str = "weight", rounds: int = 20, depth: int = 4) -> GBTClassifier:
-    return GBTClassifier(featuresCol=features, labelCol=target, weightCol=weight, maxIter=rounds, maxDepth=depth, stepSize=0.1, subsamplingRate=0.85, seed=42)
+def boosted(features: str = "features", target: str = "target", weight: str = "weight", rounds: int = 20, depth: int = 4, step: float = 0.1) -> GBTClassifier:
+    return GBTClassifier(featuresCol=features, labelCol=target, weightCol=weight, maxIter=rounds, maxDepth=depth, stepSize=step, subsamplingRate=0.85, seed=42)
 
 
 def probability(model: Transformer, df: DataFrame, out: str = "score") -> DataFrame:

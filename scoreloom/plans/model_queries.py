@@ -501,12 +501,16 @@ def class_weights(spark: SparkSession, sf: str) -> DataFrame:
     return features.weighted(df, "target").groupBy("target").agg(F.count(F.lit(1)).alias("n"), F.round(F.max("weight"), 9).alias("weight"))
 
 
+#: Terms of the text features, as in the reference.
+TERMS = 30_000
+
+
 def _model(spark: SparkSession, sf: str, numeric, categorical, text=None, boosted=False) -> DataFrame:
     rows = split_rows(spark, sf)
     train = rows.where("split = 'train_fit'")
-    prep = features.Tabular(numeric, categorical, text, 5, 4000).fit(train)
+    prep = features.Tabular(numeric, categorical, text, 5, TERMS).fit(train)
     fitted = prep.transform(train)
-    model = features.boosted(rounds=10).fit(features.weighted(fitted, "target")) if boosted else features.fit_logistic(fitted, "features", "target")
+    model = features.boosted(rounds=260, depth=6, step=0.05).fit(features.weighted(fitted, "target")) if boosted else features.fit_logistic(fitted, "features", "target")
     return features.probability(model, prep.transform(rows.where("split IN ('validation', 'test')"))).select(ID, "split", "target", "score")
 
 
@@ -522,7 +526,7 @@ def logistic_text_fusion(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(None)
 def gbt_tabular(spark: SparkSession, sf: str) -> DataFrame:
-    return _model(spark, sf, NUMERIC, ["grade", "home_ownership"], boosted=True)
+    return _model(spark, sf, NUMERIC, CATEGORICAL, boosted=True)
 
 
 @query(None)
@@ -530,12 +534,12 @@ def stacked_text_score(spark: SparkSession, sf: str) -> DataFrame:
     """Out-of-fold text scores as a feature of a tabular model."""
     rows = split_rows(spark, sf)
     train = splits.folds(rows.where("split = 'train_fit'"), ID, "target", 3)
-    prep = features.Tabular([], [], "desc_clean", 5, 1500).fit(train)
+    prep = features.Tabular([], [], "desc_clean", 3, TERMS).fit(train)
     text = prep.transform(train, "text_features")
     folded = features.out_of_fold(text, "fold", 3, "text_features", "target", "text_score").drop("text_features")
     whole = features.fit_logistic(text, "text_features", "target")
     test = features.probability(whole, prep.transform(rows.where("split = 'test'"), "text_features"), "text_score").drop("text_features")
-    last = features.Tabular([*NUMERIC, "text_score"], ["grade"]).fit(folded)
+    last = features.Tabular([*NUMERIC, "text_score"], CATEGORICAL).fit(folded)
     model = features.fit_logistic(last.transform(folded), "features", "target")
     return features.probability(model, last.transform(test)).select(ID, "target", "text_score", "score")
 

@@ -179,3 +179,22 @@ def test_uncertain_edges(spark):
     df = spark.createDataFrame([(1, 0.5, 1)], "id long, score double, target int")
     assert not scores.uncertain(df, "score", "id", 0.5, 0.9).first().manual
     assert not scores.uncertain(df, "score", "id", 0.5, 0.0).first().manual
+
+
+def test_models_are_registered_with_the_reference_parameters(spark, data, monkeypatch):
+    from scoreloom.plans import model_queries
+    from scoreloom.plans.tables import CATEGORICAL
+
+    class Seen(Exception):
+        pass
+
+    def tabular(numeric, categorical, text=None, *rest):
+        raise Seen(categorical, rest)
+
+    monkeypatch.setattr(features, "Tabular", tabular)
+    for name, want in (("gbt_tabular", (CATEGORICAL, (5, 30_000))), ("logistic_text_fusion", (CATEGORICAL, (5, 30_000))), ("stacked_text_score", ([], (3, 30_000)))):
+        with pytest.raises(Seen) as seen:
+            getattr(model_queries, name)(spark, data)
+        assert seen.value.args == want
+    model = features.boosted(rounds=260, depth=6, step=0.05)
+    assert (model.getMaxIter(), model.getMaxDepth(), model.getStepSize()) == (260, 6, 0.05)
