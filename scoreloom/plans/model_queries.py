@@ -477,6 +477,13 @@ def tfidf_weights(spark: SparkSession, sf: str) -> DataFrame:
     return w.where(~F.col("term").rlike("[^ -~]")).groupBy("term", "df").agg(F.round(F.first("idf"), 6).alias("idf"), F.sum("tf").alias("tf"))
 
 
+@query(None)
+def tfidf_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """All terms in at least 5 texts, whatever their letters."""
+    w = features.term_weights(split_rows(spark, sf), ID, "desc_clean", 5)
+    return w.groupBy("term", "df").agg(F.round(F.first("idf"), 6).alias("idf"), F.sum("tf").alias("tf"))
+
+
 def _z_sql(c: str) -> str:
     v = clean_sql(c)
     return f"round((coalesce({v}, med_{c}) - avg(coalesce({v}, med_{c})) OVER ()) / coalesce(nullif(stddev_pop(coalesce({v}, med_{c})) OVER (), 0), 1), 5) AS z_{c}"

@@ -198,3 +198,23 @@ def test_models_are_registered_with_the_reference_parameters(spark, data, monkey
         assert seen.value.args == want
     model = features.boosted(rounds=260, depth=6, step=0.05)
     assert (model.getMaxIter(), model.getMaxDepth(), model.getStepSize()) == (260, 6, 0.05)
+
+
+def test_term_table_has_rare_and_accented_terms(spark, monkeypatch):
+    import re
+    from collections import Counter
+
+    from scoreloom.plans import model_queries
+
+    lines = ["Préstamo para el café nuevo", "贷款 申请 préstamo", "A plain loan, a plain letter", None, ""] * 5 + ["seen once only"]
+    df = spark.createDataFrame(list(enumerate(lines)), "_shared_row_id long, desc_clean string")
+    monkeypatch.setattr(model_queries, "split_rows", lambda *_: df)
+    tf, docs = Counter(), Counter()
+    for line in lines:
+        w = re.findall(r"\b\w\w+\b", (line or "").lower())
+        terms = w + [f"{a} {b}" for a, b in zip(w, w[1:])]
+        tf.update(terms)
+        docs.update(set(terms))
+    want = {(k, n, round(math.log((1 + len(lines)) / (1 + n)) + 1, 6), tf[k]) for k, n in docs.items() if n >= 5}
+    got = [tuple(x) for x in model_queries.QUERIES["tfidf_terms"](spark, "").collect()]
+    assert set(got) == want and len(got) == len(want) and any(x[0] == "贷款 申请" for x in got)
