@@ -2,9 +2,9 @@
 
 Every column is reduced to a value table (group, column, value, rows): one shuffle with map-side
 combine, after which null rates, distinct counts, ranges, pattern violations, power sums and shares
-below cut points are sums over values.  Power sums of numbers are exact decimals, so partial
-profiles of a load can be added in any order; standardised differences compare a load with the one
-before it.
+below cut points are sums over values.  The first power sum is an exact decimal; the others are sums
+of doubles, whose last digits depend on the order of adding, and so do the standardised differences,
+which compare a load with the one before it.
 """
 
 from __future__ import annotations
