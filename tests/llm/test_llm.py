@@ -196,11 +196,61 @@ def test_large_family_of_near_copies_is_paired_whole(spark):
     assert len(got) == 10_000 and set(got) == {(min(i, j), max(i, j)) for i in range(0, 200, 2) for j in range(1, 200, 2)}
 
 
+def brute_pairs(rows):
+    known = [(i, s == "train_fit", words(t)) for i, s, t in rows]
+    spelling = overlap.Spelling({w for *_, t in known for w in t})
+    return {(min(a[0], b[0]), max(a[0], b[0])) for a in known for b in known if a[1] and not b[1] and 3 * overlap.same_order_words(a[2], b[2], spelling) >= 2 * max(len(a[2]), len(b[2]))}
+
+
+def family(size, changes, seed, n_words=120):
+    """Near copies of one text, each with its own words at its own places."""
+    r = random.Random(seed)
+    base = [f"{r.choice('bcdfgklm')}{r.choice(['all', 'ent', 'ork', 'ist'])}{j}" for j in range(n_words)]
+    rows = []
+    for i in range(size):
+        w = list(base)
+        for j in r.sample(range(n_words), changes):
+            w[j] = f"own{i}x{j}"
+        rows.append((i, "train_fit" if i % 2 else "test", " ".join(w)))
+    return rows
+
+
+@pytest.mark.parametrize("size,changes", [(12, 3), (40, 3), (100, 3), (400, 3), (60, 9)])
+def test_families_give_all_pairs(spark, size, changes):
+    rows = family(size, changes, size)
+    got = [tuple(x) for x in overlap.cross_split_overlaps(spark.createDataFrame(rows, "id long, split string, t string"), "id", "t", "split", "train_fit").collect()]
+    want = brute_pairs(rows) if size <= 100 else {(min(i, j), max(i, j)) for i in range(0, size, 2) for j in range(1, size, 2)}
+    assert len(want) == size * size // 4 and len(got) == len(set(got)) and set(got) == want
+
+
+def test_blocks_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(overlap, "BLOCK", 3)
+    rows = family(60, 3, 1)
+    got = overlap.cross_split_overlaps(spark.createDataFrame(rows, "id long, split string, t string"), "id", "t", "split", "train_fit").collect()
+    assert {tuple(x) for x in got} == brute_pairs(rows) and len(got) == 900
+
+
+def test_classes_and_links_do_not_expand_copies(spark):
+    text = " ".join(f"w{j}" for j in range(30))
+    rows = [(i, "train_fit" if i % 3 else "test", text) for i in range(90)] + [(100, "test", text + " more")]
+    members, links = overlap.classes_and_links(spark.createDataFrame(rows, "id long, split string, t string"), "id", "t", "split", "train_fit")
+    assert members.count() == 91 and members.select("c").distinct().count() == 2 and links.count() == 2
+
+
+def test_spelling_finds_every_close_word():
+    r = random.Random(5)
+    vocabulary = {"".join(r.choice("abc") for _ in range(r.randint(2, 11))) for _ in range(300)} | {"x" * 30, "x" * 29 + "y", "x" * 23, "x" * 24}
+    spelling = overlap.Spelling(vocabulary)
+    for w in vocabulary:
+        assert sorted(spelling.of(w)) == sorted(v for v in vocabulary if v != w and close(w, v))
+
+
 def test_common_subsequence():
     r = random.Random(1)
     for _ in range(50):
         a, b = ([r.choice("abcdef") for _ in range(r.randint(0, 30))] for _ in range(2))
         assert overlap.same_order_words(a, b) == len(aligned(a, b))
+    assert overlap.same_order_words("the laon was granted".split(), "the loan was granted".split()) == 4
     assert close("payment", "paymnet") and close("granted", "grantd") and not close("2011", "2012") and not close("cat", "dog")
 
 
