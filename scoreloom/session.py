@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,14 +23,33 @@ def get_session(app: str = "scoreloom", master: str | None = None, **conf: str)
     return builder.config(map=base | conf).getOrCreate()
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The frame, written to the folder in spark.checkpoint.dir and read from there.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names, or that the context was given.
 
-    Lineage ends here and every executor can read the files.  Only where the session names no
-    folder, as in local tests, a temporary one is set.
+    Where neither is set, a local session gets a temporary folder; on a cluster it is an error, as
+    executors could not read what another one wrote to its own disk.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not named:
+        if not (context.master or "").startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="scoreloom-checkpoint-")
     if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="scoreloom-checkpoint-"))
-    return df.checkpoint(eager=True)
+        context.setCheckpointDir(named)
+    return named
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows, written as a table to the shared folder and read from there.
+
+    Lineage ends here, every executor can read the files, and later steps read only the columns they
+    use.  The table goes when the session ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark).rstrip('/')}/scoreloom-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(conf).deleteOnExit(target)
+    return spark.read.schema(df.schema).parquet(path)
