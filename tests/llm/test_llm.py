@@ -396,6 +396,28 @@ def test_slots_that_are_spoken_of(text):
     assert not residue.signs(text, "s")[0]
 
 
+@pytest.mark.parametrize(
+    "text",
+    [
+        "Sorry, this website is temporarily unavailable for maintenance. Please retry later.", "Login expired. Please sign in again to continue.", "The requested file could not be loaded. Check your network connection and reload.", "This browser does not support cookies. Enable cookies, then refresh the page.",
+        "A sound sentence about a loan comes first.\n503 Service Unavailable", "Write your paragraph here. Insert dummy text.", "Sr. [client name here] of %%town%%", "Sed tellusi ornarum pellente, mauriso vulputo amet.", "浏览器版本过低，请升级后重新打开页面。", "La página solicitada no existe en este servidor.",
+    ],
+)
+def test_residue_in_wording_of_its_own(text):
+    assert residue.signs(text, "s")[0]
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "The lender's website was down for a week, so she sent the pay slips by post and called the branch twice.", "My script for the play was turned down, yet the theatre pays me 400 dollars a month.", "We enabled two readers to open the archive; both found the missing statements of 2011.",
+        "An error in my file, since corrected, had me 30 days late on a card that I never opened.", "Please call after six. The account at the credit union is in good standing.", "The template has a field {{name}} that the letter fills in.",
+    ],
+)
+def test_content_in_wording_of_its_own(text):
+    assert not residue.signs(text, "s")[0]
+
+
 def test_host_evidence_for_long_bodies(spark):
     rows = [(i, "The page showed an error and nothing else here " + "and on it went without an end " * 60 + str(i), "d") for i in range(3)]
     df = spark.createDataFrame(rows, "id long, t string, src string")
