@@ -58,10 +58,11 @@ TERMS = frozenset(
 )
 # Those of the terms that hardly stand in other texts; a passage needs one of them.
 CORE = frozenset(
-    "http requests retry error errors gateway server unavailable forbidden unauthorized denied permission timeout timed url found gone blocked reset connection oops exception traceback page website loading reload refresh viewer retrieved opened displayed available region session expired log login browser browsers javascript script scripts scripting noscript cookies cookie captcha robot"
+    "http requests retry error errors gateway server unavailable forbidden unauthorized denied permission timeout timed url gone blocked reset connection oops exception traceback page website loading reload refresh viewer retrieved opened displayed available region session expired login browser browsers javascript script scripts scripting noscript cookies cookie captcha robot"
     " placeholder dummy lorem todo tbd tba goes delete soon written follow supply blah asdf qwerty xxx xxxx página encontrada encontrado servidor navegador javascript acceso denegado sesión caducado expirado aquí reemplace disponible".split()
 )
 HAN_TERMS = re.compile("页面|网页|未找到|不存在|找不到|服务器|错误|浏览器|脚本|启用|开启|版本过低|不支持|升级|更新|在此处|此处|输入|正文|内容|文本|请求|请|稍后|再试|重试|刷新|无法|访问|登录|重新|已过期|过期|会话|超时|连接|加载|显示|打开|查看|继续|文件|验证|需要|禁用|待补充|占位|示例|代码|返回|首页|您的|的|您|了|此|后|并|以|或")
+HAN_CORE = re.compile("|".join(w for w in HAN_TERMS.pattern.split("|") if len(w) > 1))
 # Words of the printers' filler text (fixed values); made-up filler varies their endings.
 FILLER_WORDS = "lorem ipsum dolor amet consectetur adipiscing elit eiusmod tempor incididunt labore dolore magna aliqua enim minim veniam quis nostrud exercitation ullamco laboris nisi aliquip commodo consequat duis aute irure reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat proident sunt culpa officia deserunt mollit anim laborum mauris tellus vulputate ornare fermentum pellentesque quam ante nec sed viverra tincidunt sagittis vestibulum"
 FILLER = frozenset(w[:4] for w in FILLER_WORDS.split())
@@ -70,6 +71,8 @@ REPEATED = re.compile(r"(?<!\w)([^\W\d_]{3,})(?:[\W_]{1,3}\1\b){2,}")
 QUOTED = re.compile(r"(?<!\w)'[^'\n]{1,200}'(?!\w)|\"[^\"\n]{1,200}\"|“[^”\n]{1,200}”|‘[^’\n]{1,200}’|`[^`\n]{1,200}`")
 PASSAGE = re.compile(r"(?<=[.!?。！？])(?:\s+|(?=[一-鿿]))|[\n\r  \x0b\x0c]+|\s*</(?:title|head|body|p|h\d)>\s*|\s*<(?:html|head|title|body|p|h\d)>\s*")
 WORD = re.compile(r"(?<![\w#/])[^\W\d_]+(?:['’][a-z]+)?(?![\w/])")
+LETTERS = re.compile(r"[^\W\d_]+")
+PLAIN = TERMS | COMMON
 HAN = re.compile(r"[一-鿿]")
 SLOTS = 2  # unquoted slots that make a text an unfilled template; one is enough where it is the whole passage
 DENSE, WEAK = 0.6, 0.5  # shares of response terms in a passage: enough, and enough with other evidence
@@ -114,9 +117,13 @@ def signs(text: str, slug: str | None) -> tuple[list[str], str]:
     low = text.lower()
     if ("{" in low or "<error" in low) and ERROR_OBJECT.search(low):
         kinds.add("error")
+    seen = set(LETTERS.findall(low))
+    slotted = any(k in low for k in SLOT_KEYS) and SLOT.search(low)
+    if not slotted and not CORE & seen and "not found" not in low and not HAN_CORE.search(low) and not seen <= PLAIN and len({w[:4] for w in seen} & FILLER) < 3:
+        return sorted(kinds), ""  # none of the detectors below can fire
     low = QUOTED.sub(" ' ", low)
     passages = [p.strip() for p in PASSAGE.split(low) if p and p.strip()]
-    if any(k in low for k in SLOT_KEYS) and SLOT.search(low):
+    if slotted:
         slots = 0
         for p in passages:
             if LONE.fullmatch(p):
@@ -131,7 +138,7 @@ def signs(text: str, slug: str | None) -> tuple[list[str], str]:
         if filler(p):
             kinds.add("filler")
         share, hits = density(p)
-        core = any(w in CORE or HAN.search(w) for w in hits)
+        core = any(w in CORE or HAN.search(w) for w in hits) or "not found" in p
         if share >= DENSE:
             dense |= hits
             if core and STATUS.match(p):
@@ -141,7 +148,7 @@ def signs(text: str, slug: str | None) -> tuple[list[str], str]:
         if core and share >= WEAK and share * len(hits) > best:
             best, weak = share * len(hits), i
     # Enough of the response terms, or a text of nothing else.
-    core = any(w in CORE or HAN.search(w) for w in dense)
+    core = any(w in CORE or HAN.search(w) for w in dense) or "found" in dense and "not found" in low
     if core and (len(dense) >= LEAST_TERMS or not others) or len(dense) > LEAST_TERMS and not others:
         kinds.add("notice")
     if kinds:
