@@ -8,8 +8,10 @@ is then checked exactly: an alignment that tolerates misspelt words must cover a
 ``COVERAGE`` of the item's own wording, and at least ``FACTS`` of what tells this item from others
 (words weighted by rarity among the items), so that the same sentences with other facts don't count.
 
-Items are taken in blocks of at most ``BLOCK_WORDS`` words, one automaton each, so what is sent to
-the executors is bounded however many items there are.
+Items are taken in blocks of at most ``BLOCK_WORDS`` words, one automaton each.  The corpus is read
+once: a task holds some texts and takes the blocks one after another, so that no more than one
+automaton is in memory.  What is sent to the executors is the test set, checked to be of at most
+``MOST_WORDS`` words.
 """
 
 from __future__ import annotations
@@ -17,14 +19,14 @@ from __future__ import annotations
 import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
 from scoreloom.llm.wording import aligned, placed_words, plain, words
 
-BLOCK_WORDS = 400_000
+BLOCK_WORDS, MOST_WORDS = 400_000, 50_000_000
+HELD_CHARS = 20_000_000  # of the texts that a task holds while it takes the blocks
 STOCK_ITEMS = 3  # a line of that many different item texts is stock
 RUN, SPECIFIC = 3, 5  # words of a match that counts, and of one that makes a candidate
 GAP = 10  # words between chained matches
@@ -41,7 +43,7 @@ def own_wording(items: list[tuple[int, str | None]]) -> dict[int, list[str]]:
     lines = {}
     for item, text in sorted(items, key=lambda x: (x[0], x[1] or "")):
         if text and item not in lines:
-            lines[item] = [w for line in text.split("\n") if (w := tuple(words(line)))]
+            lines[item] = [w for line in text.split("\n") if (w := tuple(words(line, han=True)))]
     holders = Counter(line for own in {tuple(own) for own in lines.values()} for line in set(own))
     return {i: w for i, own in lines.items() if (w := [x for line in own if holders[line] < STOCK_ITEMS for x in line])}
 
@@ -57,6 +59,11 @@ class Automaton:
 
     def __init__(self, texts: dict[int, list[str]], weight: dict[str, float] | None = None):
         self.texts = texts
+        # Items of fewer words than a match counts in are looked up whole.
+        self.short: dict[str, list[tuple[int, list[str]]]] = defaultdict(list)
+        for item, text in texts.items():
+            if len(text) < RUN:
+                self.short[text[0]].append((item, text))
         nxt: list[dict] = [{}]
         link, size = [-1], [0]
         ends: list[list[tuple[int, int]]] = [[]]
@@ -126,6 +133,13 @@ class Automaton:
     def leaks(self, text: list[str]) -> list[tuple[int, float, int, int]]:
         """(item, coverage, first word, end word) of the items that the text holds."""
         out = []
+        if self.short:
+            whole: dict[int, int] = {}
+            for i, w in enumerate(text):
+                for item, own in self.short.get(w, ()):
+                    if text[i : i + len(own)] == own:
+                        whole.setdefault(item, i)
+            out = [(item, 1.0, i, i + len(self.texts[item])) for item, i in whole.items()]
         for item, runs in self.matches(text).items():
             own = self.texts[item]
             if max(r[2] for r in runs) < min(SPECIFIC, len(own)):
@@ -212,30 +226,50 @@ def blocks(own: dict[int, list[str]]) -> list[dict[int, list[str]]]:
 def find_leaks(corpus: DataFrame, key: str, text: str, items: DataFrame, item_key: str, item_text: str) -> DataFrame:
     """(key, item, coverage, first_word, end_word): the corpus texts that hold test items.
 
-    items is the test set, which is small by nature; it is read to the driver and sent out in
-    blocks of bounded size.  Null or empty texts hold nothing and null item ids are left out.
-    Repeated corpus rows are reported each; items with equal texts are all reported.  Empty tables
-    give an empty result.  Other columns are not read.
+    items is the test set, read to the driver; more than MOST_WORDS words of it are an error.  Null or
+    empty texts hold nothing and null item ids are left out.  An item of fewer than RUN own words is
+    found only where it stands whole.  Repeated corpus rows are reported each; items with equal texts
+    are all reported.  Empty tables give an empty result.  Other columns are not read.
     """
     rows = [(r[0], r[1]) for r in items.select(item_key, item_text).where(items[item_key].isNotNull()).toLocalIterator()]
     kind = corpus.schema[key].dataType.simpleString()
-    schema = f"k {kind}, item long, coverage double, first_word int, end_word int"
     spark = corpus.sparkSession
-    parts = []
     own = own_wording(rows)
+    if sum(map(len, own.values())) > MOST_WORDS:
+        raise ValueError(f"a test set of more than {MOST_WORDS} words; take it in parts")
     weight = rarity(own)  # over all items, so results don't depend on blocks
-    for block in blocks(own):
-        shared = spark.sparkContext.broadcast((block, {w: weight[w] for t in block.values() for w in t}))
-
-        def run(pieces: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            automaton = Automaton(*shared.value)
-            for piece in pieces:
-                hits = [(k, *hit) for k, t in zip(piece["k"], piece["t"]) for hit in automaton.leaks(words(t))]
-                yield pd.DataFrame(hits, columns=["k", "item", "coverage", "first_word", "end_word"])
-
-        parts.append(corpus.selectExpr(f"`{key}` AS k", f"`{text}` AS t").where("t IS NOT NULL AND t <> ''").mapInPandas(run, schema))
-    out = reduce(DataFrame.unionAll, parts) if parts else spark.createDataFrame([], schema)
-    return out.withColumnsRenamed({"k": key, "item": item_key})
+    shared = [spark.sparkContext.broadcast((block, {w: weight[w] for t in block.values() for w in t})) for block in blocks(own)]
+    names = ["k", "item", "coverage", "first_word", "end_word"]
+
+    def run(pieces: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        single = Automaton(*shared[0].value) if len(shared) == 1 else None
+        held: list[tuple[object, list[str]]] = []
+        size = 0
+
+        def through_blocks() -> pd.DataFrame:
+            hits = []
+            for block in shared:
+                automaton = single or Automaton(*block.value)
+                hits += [(k, *hit) for k, w in held for hit in automaton.leaks(w)]
+                if not single:
+                    block.__dict__.pop("_value", None)  # read again from its file when needed
+            held.clear()
+            return pd.DataFrame(hits, columns=names)
+
+        for piece in pieces:
+            for k, t in zip(piece["k"], piece["t"]):
+                held.append((k, words(t, han=True)))
+                size += len(t)
+            if single or size > HELD_CHARS:
+                yield through_blocks()
+                size = 0
+        yield through_blocks()
+
+    schema = f"k {kind}, item long, coverage double, first_word int, end_word int"
+    if not shared:
+        return spark.createDataFrame([], schema).withColumnsRenamed({"k": key, "item": item_key})
+    texts = corpus.selectExpr(f"`{key}` AS k", f"`{text}` AS t").where("t IS NOT NULL AND t <> ''")
+    return texts.mapInPandas(run, schema).withColumnsRenamed({"k": key, "item": item_key})
 
 
 def without_leaks(text: str, spans: list[tuple[int, int]]) -> str:

@@ -10,6 +10,8 @@ import unicodedata
 LOOKALIKES = str.maketrans("абвгезікмнорстухуѕјԁһӏԛԝαοερντικυхАВЕКМНОРСТУХІЅЈΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "abbre3ikmhopctyxysjdhlqwaoepvtikuxABEKMHOPCTYXISJABEZHIKMNOPTYX")
 BREAKS = re.compile(r"[\u2010-\u2015…/|\\]|-{2,}|\.{2,}")
 MARKS = re.compile(r"[^\w\s]|_")
+HAN = re.compile(r"[\u3400-\u9fff\uf900-\ufaff]")
+PART = re.compile(r"[\u3400-\u9fff\uf900-\ufaff]|[^\s\u3400-\u9fff\uf900-\ufaff]+")
 HIDDEN = re.compile(r"[\u00ad\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufeff\u0300-\u036f]")
 
 
@@ -24,18 +26,22 @@ def plain(text: str) -> str:
     return HIDDEN.sub("", unicodedata.normalize("NFKD", text)).translate(LOOKALIKES)
 
 
-def words(text: str | None) -> list[str]:
-    """Lower-case words; marks inside a word are dropped ('$9,750' is '9750')."""
+def words(text: str | None, han: bool = False) -> list[str]:
+    """Lower-case words; marks inside a word are dropped ('$9,750' is '9750').
+
+    han: every Chinese character is a word, as nothing parts the words of that script.
+    """
     if not text:
         return []
-    return MARKS.sub("", BREAKS.sub(" ", plain(text).lower())).split()
+    line = MARKS.sub("", BREAKS.sub(" ", plain(text).lower()))
+    return (HAN.sub(r" \g<0> ", line) if han and not line.isascii() else line).split()
 
 
 def placed_words(text: str) -> list[tuple[str, int, int]]:
-    """The words of an already plain text with their character positions."""
+    """The words of an already plain text, Chinese by characters, with their character positions."""
     masked = BREAKS.sub(lambda m: " " * len(m[0]), text)
     out = []
-    for m in re.finditer(r"\S+", masked):
+    for m in PART.finditer(masked):
         w = MARKS.sub("", m[0].lower())
         if w:
             out.append((w, m.start(), m.end()))
