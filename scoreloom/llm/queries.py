@@ -41,7 +41,8 @@ def _eligible(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf: str) -> DataFrame:
-    return p4_report(spark, sf).where("NOT met").select("load_no", "dimension", "category")
+    """Categories that the drawn sample lacks because there are too few eligible loans."""
+    return p4_report(spark, sf).where("short_by > 1e-9 AND NOT attainable").select("load_no", "dimension", "category")
 
 
 P4_FOUND = """

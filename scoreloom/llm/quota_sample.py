@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKETS = 1024
+ROUNDS = 5000
 
 
 def _max_flow(n: int, edges: list[list], s: int, t: int) -> int:
@@ -78,12 +79,20 @@ def controlled_rounding(table: np.ndarray) -> np.ndarray:
 
 
 def raked(available: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
-    """The available counts scaled to both margins, without taking more of a cell than there is."""
+    """The available counts scaled to both margins, without taking more of a cell than there is.
+
+    Rounds go on until nothing changes.  Margins that no table under the available counts has are not
+    reached; the report then says by how much each category fell short.
+    """
     x = available.astype(float)
-    for _ in range(200):
+    for _ in range(ROUNDS):
+        last = x
         x = np.minimum(x * np.divide(rows, x.sum(1), out=np.zeros(len(rows)), where=x.sum(1) > 0)[:, None], available)
         x = np.minimum(x * np.divide(columns, x.sum(0), out=np.zeros(len(columns)), where=x.sum(0) > 0)[None], available)
-    return x
+        if np.abs(x - last).max() < 1e-9:
+            break
+    # The last scaling was by columns; rows above their margin give way.
+    return x * np.minimum(1.0, np.divide(rows, x.sum(1), out=np.ones(len(rows)), where=x.sum(1) > 0))[:, None]
 
 
 def quotas(counts: dict[tuple[str, str], int], targets: dict[str, dict[str, tuple[float, int, int]]], dims: tuple[str, str]) -> dict[tuple[str, str], int]:
@@ -117,7 +126,7 @@ def plan(eligible: DataFrame, targets: DataFrame, group: str, dims: tuple[str, s
     eligible: (group, dims...) one row for each record, categories as text.  targets: (group,
     dimension, category, target_share, min_rows, sample_rows).  The report has the eligible count,
     what the targets ask (the greater of min_rows and target_share * sample_rows, unrounded) and
-    ``met``.  A category without eligible records counts 0.
+    ``met``, here only whether there are that many (``judged`` looks at what was drawn).  A category without eligible records counts 0.
     """
     cells = eligible.groupBy(group, *dims).agg(F.count(F.lit(1)).alias("n"))
     sides = [cells.where(F.col(d).isNotNull()).groupBy(group, F.lit(d).alias("dimension"), F.col(d).alias("category")).agg(F.sum("n").alias("eligible")) for d in dims]
@@ -147,8 +156,8 @@ def plan(eligible: DataFrame, targets: DataFrame, group: str, dims: tuple[str, s
 def draw(eligible: DataFrame, quota: DataFrame, group: str, dims: tuple[str, str], key: str, seed: str = "42") -> DataFrame:
     """Exactly the quota of every cell, by smallest random key.
 
-    A histogram of keys finds the bucket in which a cell's quota ends, so only records up to that
-    bucket are ranked; a cell of any size is never sorted whole.  Ties of the key go to the smaller
+    A histogram of keys finds the bucket in which a cell's quota ends: records of earlier buckets are
+    taken whole, and only those of that bucket, one in BUCKETS of a cell, are ranked.  Ties of the key go to the smaller
     record id.  Records with a null category or group are in no cell.
     """
     by = ["_g", "_a", "_b"]
@@ -159,16 +168,18 @@ def draw(eligible: DataFrame, quota: DataFrame, group: str, dims: tuple[str, str
     wanted = quota.select(*cell, F.col("quota").alias("_quota"))
     upto = Window.partitionBy(*by).orderBy("_bucket")
     counts = keyed.groupBy(*by, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    last = counts.withColumn("_before", F.sum("_n").over(upto) - F.col("_n")).join(wanted, by).where("_before < _quota").groupBy(*by, "_quota").agg(F.max("_bucket").alias("_last"))
+    last = counts.withColumn("_before", F.sum("_n").over(upto) - F.col("_n")).join(wanted, by).where("_before < _quota").groupBy(*by).agg(F.max(F.struct("_bucket", (F.col("_quota") - F.col("_before")).alias("_left"))).alias("_last"))
+    reached = keyed.join(last, by).where("_bucket <= _last._bucket")
     rank = F.row_number().over(Window.partitionBy(*by).orderBy("_key", "_id"))
-    return keyed.join(last, by).where("_bucket <= _last").withColumn("_rank", rank).where("_rank <= _quota").select("_row.*")
+    ranked = reached.where("_bucket = _last._bucket").withColumn("_rank", rank).where("_rank <= _last._left").drop("_rank")
+    return reached.where("_bucket < _last._bucket").unionByName(ranked).select("_row.*")
 
 
 def judged(report: DataFrame, quota: DataFrame, drawn: DataFrame, group: str, dims: tuple[str, str]) -> DataFrame:
-    """The report with each category's ``rounded`` quota and ``drawn`` records, judged by them.
+    """The report with each category's ``rounded`` quota, ``drawn`` records, ``short_by`` and ``met``.
 
-    A category of which enough was drawn is met.  One of which less was drawn gave way to the other
-    dimension, or fell short: the eligible records against the unrounded target decide.
+    short_by is what the drawn sample lacks of the target, whether records are missing (not
+    ``attainable``) or the category gave way to the other dimension; met allows for rounding down.
     """
 
     def margins(df: DataFrame, n: Column, name: str) -> DataFrame:
@@ -176,5 +187,5 @@ def judged(report: DataFrame, quota: DataFrame, drawn: DataFrame, group: str, di
         return sides[0].unionByName(sides[1])
 
     by = [group, "dimension", "category"]
-    both = report.drop("met").join(margins(quota, F.sum("quota"), "rounded"), by, "left").join(margins(drawn, F.count(F.lit(1)), "drawn"), by, "left").fillna(0, ["rounded", "drawn"])
-    return both.withColumn("met", (F.col("drawn") >= F.col("asked") - 1e-9) | (F.col("eligible") >= F.col("asked") - 1e-9))
+    both = report.withColumnRenamed("met", "attainable").join(margins(quota, F.sum("quota"), "rounded"), by, "left").join(margins(drawn, F.count(F.lit(1)), "drawn"), by, "left").fillna(0, ["rounded", "drawn"])
+    return both.withColumns({"short_by": F.greatest(F.col("asked") - F.col("drawn"), F.lit(0.0)), "met": F.col("drawn") >= F.floor(F.col("asked") + 1e-9)})

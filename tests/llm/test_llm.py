@@ -138,6 +138,40 @@ def test_sample_meets_quotas(spark):
     assert none.count() == 0 and report.where("NOT met").count() == 5
 
 
+def sampled(spark, cells, targets):
+    """Report by category of records given by cell, and the drawn records."""
+    rows = [(f"{g}{t}{i}", 1, g, t) for (g, t), n in cells.items() for i in range(n)]
+    df = spark.createDataFrame(rows, "id string, load int, grade string, target string")
+    wanted = spark.createDataFrame([(1, d, c, share, least, size) for d, c, share, least, size in targets], "load int, dimension string, category string, target_share double, min_rows long, sample_rows long")
+    quota, report = quota_sample.plan(df, wanted, "load", ("grade", "target"))
+    drawn = quota_sample.draw(df, quota, "load", ("grade", "target"), "id")
+    found = {(r.dimension, r.category): r for r in quota_sample.judged(report, quota, drawn, "load", ("grade", "target")).collect()}
+    return found, drawn.collect()
+
+
+def test_margins_that_exclude_each_other_are_reported_short(spark):
+    """All of A is good and all of B is bad, so 80 of A cannot go with 50 bad ones."""
+    found, drawn = sampled(spark, {("A", "0"): 100, ("B", "1"): 100}, [("grade", "A", 0.8, 1, 100), ("grade", "B", 0.2, 1, 100), ("target", "0", 0.5, 1, 100), ("target", "1", 0.5, 1, 100)])
+    assert all(r.attainable and r.drawn == r.rounded for r in found.values()) and all(r.met == (r.drawn >= r.asked) for r in found.values())
+    assert sum(r.short_by for r in found.values()) > 0 and not all(r.met for r in found.values())
+    for d in ("grade", "target"):
+        assert sum(r.drawn for (x, _), r in found.items() if x == d) == len(drawn)
+
+
+def test_margins_that_go_together_are_met(spark):
+    cells = {("A", "0"): 60, ("A", "1"): 7, ("B", "0"): 300, ("B", "1"): 200, ("C", "0"): 9, ("C", "1"): 30}
+    found, drawn = sampled(spark, cells, [("grade", "A", 0.3, 5, 120), ("grade", "B", 0.5, 5, 120), ("grade", "C", 0.2, 5, 120), ("target", "0", 0.6, 5, 120), ("target", "1", 0.4, 5, 120)])
+    assert len(drawn) == 120 and all(r.met and abs(r.drawn - r.asked) < 1 for r in found.values())
+
+
+def test_draw_ranks_only_the_last_bucket(spark):
+    df = spark.range(5000).selectExpr("id", "1 AS load", "'A' AS grade", "'0' AS target")
+    quota = spark.createDataFrame([(1, "A", "0", 1234)], "load int, grade string, target string, quota long")
+    got = [r.id for r in quota_sample.draw(df, quota, "load", ("grade", "target"), "id").collect()]
+    key = df.select("id", F.pmod(F.xxhash64("id", F.lit("42")), F.lit(2**52)).alias("k")).orderBy("k", "id").limit(1234)
+    assert sorted(got) == sorted(r.id for r in key.collect())
+
+
 def test_shortfall_comes_from_the_drawn_sample(spark, data):
     rows = q.p4_report(spark, data).collect()
     assert any(x.drawn for x in rows) and all(x.drawn == x.rounded <= x.eligible for x in rows)
@@ -332,6 +366,28 @@ def test_items_with_equal_texts_are_all_reported(spark):
     assert sorted(r.item_id for r in leakage.find_leaks(docs, "doc", "t", items, "item_id", "text").collect()) == [0, 70, 71]
 
 
+def test_three_items_of_one_text_and_short_and_chinese_ones(spark):
+    case = "借款人说他在南京的工厂上班已经有十二年并且每个月按时还款四千元"
+    items = spark.createDataFrame([*ITEMS, (70, ITEMS[0][1]), (71, ITEMS[0][1]), (72, ITEMS[0][1]), (80, "Quillbay terms"), (90, case)], "item_id long, text string")
+    docs = [(1, ITEMS[0][1]), (2, "He named the Quillbay terms twice."), (3, "He named Quillbay and its terms."), (4, "前面的话。" + case[:8] + "，" + case[8:] + "。后面的话。"), (5, case[:6])]
+    got = {(r.doc, r.item_id) for r in leakage.find_leaks(spark.createDataFrame(docs, "doc long, t string"), "doc", "t", items, "item_id", "text").collect()}
+    assert got == {(1, 0), (1, 70), (1, 71), (1, 72), (2, 80), (4, 90)}
+
+
+def test_many_blocks_in_one_pass(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(ITEMS)] * 3, "doc long, t string").repartition(2)
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    whole = sorted(map(tuple, leakage.find_leaks(docs, "doc", "t", items, "item_id", "text").collect()))
+    monkeypatch.setattr(leakage, "BLOCK_WORDS", 1)
+    monkeypatch.setattr(leakage, "HELD_CHARS", 500)
+    parted = leakage.find_leaks(docs, "doc", "t", items, "item_id", "text")
+    assert sorted(map(tuple, parted.collect())) == whole and len(whole) >= 3 * len(ITEMS)
+    assert parted._jdf.queryExecution().optimizedPlan().toString().count("MapInPandas") == 1
+    monkeypatch.setattr(leakage, "MOST_WORDS", 100)
+    with pytest.raises(ValueError):
+        leakage.find_leaks(docs, "doc", "t", items, "item_id", "text")
+
+
 def test_automaton_finds_longest_matches():
     r = random.Random(2)
     texts = {i: [r.choice("abc") for _ in range(40)] for i in range(5)}
