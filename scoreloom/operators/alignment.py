@@ -7,10 +7,15 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scoreloom.session import checkpointed
+
 
 def keep_first(df: DataFrame, key: str, order: str) -> DataFrame:
-    """One row for each key, the one first in order; rows with a null key are one key."""
-    return df.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(order))).where("_rn = 1").drop("_rn")
+    """One row for each key, the one first in order; rows with a null key are one key.
+
+    An aggregate with map-side combine, so a key of any number of rows is no one task's.
+    """
+    return df.groupBy(F.col(key).alias("_key")).agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), order).alias("_row")).select("_row.*")
 
 
 def missing_ids(split: DataFrame, base: DataFrame, key: str) -> DataFrame:
@@ -45,8 +50,6 @@ def row_ids(df: DataFrame, order: str, name: str = "row_id") -> DataFrame:
     a short list, are added up.
     """
     ranged = df.repartitionByRange(F.col(order)).withColumn("_p", F.spark_partition_id()).sortWithinPartitions(order)
-    from scoreloom.session import checkpointed
-
     ranged = checkpointed(ranged)
     sizes = ranged.groupBy("_p").count()
     before = sizes.select("_p", (F.sum("count").over(Window.partitionBy(F.lit(0)).orderBy("_p")) - F.col("count")).alias("_b"))

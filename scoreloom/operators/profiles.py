@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scoreloom.operators.scores import ranked
+
 MISSING, OTHER = "__MISSING__", "__OTHER__"
 LEAST_WEIGHT = 1e-6
 
@@ -23,8 +25,8 @@ def quantile_edges(df: DataFrame, columns: list[str], max_bins: int = 8) -> Data
     long = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in columns])).alias("x")).select("x.*").where("v IS NOT NULL AND NOT isnan(v)")
     values = long.groupBy("feature", "v").agg(F.count(F.lit(1)).alias("n"))
     size = values.groupBy("feature").agg(F.sum("n").alias("total"), F.least(F.count(F.lit(1)), F.lit(max_bins)).cast("int").alias("q"))
-    upto = Window.partitionBy("feature").orderBy("v")
-    placed = values.withColumn("below", F.sum("n").over(upto) - F.col("n")).join(size, "feature")
+    table = ranked(values.select("feature", F.col("v").alias("score"), "n", F.lit(0).alias("pos")), ["feature"])
+    placed = table.select("feature", F.col("score").alias("v"), "n", (F.col("n_all") - F.col("n_above") - F.col("n")).alias("below")).join(size, "feature")
     # Quantile k/q lies between two ranks; each value knows which of these ranks it holds.
     ks = F.transform(F.sequence(F.lit(0), F.col("q")), lambda k: F.struct(k.alias("k"), (k / F.col("q") * (F.col("total") - 1)).alias("pos")))
     holds = lambda r: (F.col("below") <= r) & (r < F.col("below") + F.col("n"))

@@ -55,10 +55,10 @@ def boards(board: DataFrame) -> DataFrame:
     return board.withColumn("board", F.when(F.col("rr_gap") <= WARN, "main").otherwise("extended"))
 
 
-def confidence(df: DataFrame, key: str, target: str, predicted: str, draws: int = 1000) -> DataFrame:
+def confidence(df: DataFrame, target: str, predicted: str, draws: int = 1000) -> DataFrame:
     """95 % bootstrap intervals of precision, recall and approval bad rate."""
     y, p = F.col(target) == 1, F.col(predicted) == 1
-    sums = splits.bootstrap(df, key, {"tp": (y & p).cast("int"), "fp": (~y & p).cast("int"), "tn": (~y & ~p).cast("int"), "fn": (y & ~p).cast("int")}, draws)
+    sums = splits.bootstrap(df, {"tp": y & p, "fp": ~y & p, "tn": ~y & ~p, "fn": y & ~p}, draws)
     m = {"precision": scores.ratio(F.col("tp"), F.col("tp") + F.col("fp")), "recall": scores.ratio(F.col("tp"), F.col("tp") + F.col("fn")), "approval_bad_rate": scores.ratio(F.col("fn"), F.col("tn") + F.col("fn"))}
     long = sums.select(F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), v.alias("v")) for k, v in m.items()])).alias("x")).select("x.*")
     return long.groupBy("measure").agg(F.percentile("v", F.array(F.lit(0.025), F.lit(0.975))).alias("q"), F.avg("v").alias("mean")).select("measure", F.round(F.col("q")[0], 6).alias("low"), F.round(F.col("q")[1], 6).alias("high"), F.round("mean", 6).alias("mean"))

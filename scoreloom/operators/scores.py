@@ -11,7 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 4096
+from scoreloom.operators.alignment import row_ids
+
+STEPS = 1024  # buckets of an octave
+
+
+def bucket_of(value: Column) -> Column:
+    """An order-keeping bucket of a number of any size: steps of a 1024th of an octave, either sign."""
+    size = F.floor((F.log2(F.abs(value)) + 1100) * STEPS)
+    return F.when(value > 0, size).when(value < 0, -size).otherwise(F.lit(0)).cast("long")
 
 
 def score_table(df: DataFrame, score: str, target: str, by: list[str] | None = None) -> DataFrame:
@@ -23,8 +31,7 @@ def score_table(df: DataFrame, score: str, target: str, by: list[str] | None = N
 def ranked(table: DataFrame, by: list[str] | None = None) -> DataFrame:
     """The score table with sums over all higher scores: n_above, pos_above, and totals n_all, pos_all."""
     by = by or []
-    bucket = F.floor(F.greatest(F.least(F.col("score"), F.lit(1.0)), F.lit(0.0)) * BUCKETS)
-    t = table.withColumn("bucket", bucket)
+    t = table.withColumn("bucket", bucket_of(F.col("score")))
     offsets = t.groupBy(*by, "bucket").agg(F.sum("n").alias("bn"), F.sum("pos").alias("bp"))
     over = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy(F.desc("bucket"))
     every = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
@@ -182,13 +189,14 @@ def gains_curve(df: DataFrame, score: str, target: str, split: str, rates: list[
 def exact_top(df: DataFrame, score: str, key: str, rate: float, out: str = "rejected") -> DataFrame:
     """Marks exactly floor(rate * n) rows of highest score, ties by smaller key.
 
-    The cut score comes from the score table; only the rows that tie at it are ranked.
+    The cut score comes from the score table; only the rows that tie at it are ordered, by ranges of
+    the key, so that ties of any number are not one task's.
     """
     table = ranked(score_table(df.withColumn("_one", F.lit(1)), score, "_one"))
     k = F.floor(F.col("n_all") * F.lit(rate) + 1e-9)
     cut = table.where((F.col("n_above") < k) & (F.col("n_above") + F.col("n") >= k)).select(F.col("score").alias("_cut"), (k - F.col("n_above")).alias("_left")).limit(1)
     marked = df.join(F.broadcast(cut), how="left")
-    tied = marked.where(F.col(score) == F.col("_cut")).withColumn("_rn", F.row_number().over(Window.partitionBy("_cut").orderBy(key))).where("_rn <= _left").select(F.col(key).alias("_tied"))
+    tied = row_ids(marked.where(F.col(score) == F.col("_cut")).select(F.col(key).alias("_tied"), "_left"), "_tied", "_rn").where("_rn < _left").select("_tied")
     return marked.join(tied, marked[key] == tied["_tied"], "left").withColumn(out, F.coalesce(F.col(score) > F.col("_cut"), F.lit(False)) | F.col("_tied").isNotNull()).drop("_cut", "_left", "_tied")
 
 

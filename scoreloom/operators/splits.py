@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,17 +135,14 @@ def folds(df: DataFrame, key: str, target: str, k: int = 5, seed: str = "42") ->
     return class_rank(df, key, target, seed).withColumn("fold", ((F.col("rank") - 1) % k).cast("int")).drop("rank")
 
 
-def bootstrap(df: DataFrame, key: str, measures: dict[str, Column], draws: int = 1000, seed: str = "42") -> DataFrame:
-    """(draw_no, <measure>...): sums of measure columns under Poisson(1) weights of each row and draw.
+def bootstrap(df: DataFrame, cells: dict[str, Column], draws: int = 1000, seed: int = 42) -> DataFrame:
+    """(draw_no, <cell>...): counts of cells in samples of as many rows, drawn with replacement.
 
-    A row's weight in a draw is a hash of both, so no row moves: the weighted sums are partial
-    aggregates of at most ``draws`` groups.
+    cells: conditions that exclude each other and of which one holds for every row.  Measures of the
+    cells depend on their counts alone, and these are multinomial: one aggregate over the rows, then
+    ``draws`` short rows, however many rows there are.
     """
-    u = (F.pmod(F.xxhash64(F.col(key), F.col("draw_no"), F.lit(seed)), F.lit(2**40)).cast("double") + 0.5) / float(2**40)
-    steps, p, acc = F.lit(0), math.exp(-1), math.exp(-1)
-    for i in range(1, 9):
-        steps = steps + F.when(u > acc, 1).otherwise(0)
-        p /= i
-        acc += p
-    long = df.select(F.col(key), *[c.alias(n) for n, c in measures.items()], F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("draw_no")).withColumn("w", steps)
-    return long.where("w > 0").groupBy("draw_no").agg(*[F.sum(F.col(n) * F.col("w")).alias(n) for n in measures])
+    row = df.agg(*[F.count_if(c).alias(n) for n, c in cells.items()]).first()
+    counts = np.array([row[n] for n in cells], float)
+    drawn = np.random.default_rng(seed).multinomial(int(counts.sum()), counts / counts.sum(), draws) if counts.sum() else np.zeros((draws, len(cells)), int)
+    return df.sparkSession.createDataFrame([(i + 1, *map(int, r)) for i, r in enumerate(drawn)], "draw_no int, " + ", ".join(f"{n} long" for n in cells))

@@ -7,10 +7,11 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scoreloom.operators.cleaning import constants, missing_ratios
+from scoreloom.operators.scores import quantiles
 
 PROBS = [0.01, 0.05, 0.5, 0.95, 0.99]
 
@@ -34,12 +35,8 @@ def describe(df: DataFrame, columns: list[str]) -> DataFrame:
     values = long.groupBy("column_name", "v").agg(F.count(F.lit(1)).alias("k"))
     total = values.groupBy("column_name").agg(F.sum("k").alias("n"), (F.sum(F.col("v") * F.col("k")) / F.sum("k")).alias("mean"), F.min("v").alias("min"), F.max("v").alias("max"))
     spread = values.join(total, "column_name").groupBy("column_name", "n", "mean", "min", "max").agg(F.sqrt(F.try_divide(F.sum(F.col("k") * F.pow(F.col("v") - F.col("mean"), 2)), F.col("n") - 1)).alias("std"))
-    upto = Window.partitionBy("column_name").orderBy("v")
-    placed = values.withColumn("below", F.sum("k").over(upto) - F.col("k")).join(total.select("column_name", "n"), "column_name")
-    holds = lambda r: (F.col("below") <= r) & (r < F.col("below") + F.col("k"))
-    at = placed.select("*", F.explode(F.array(*map(F.lit, PROBS))).alias("p")).withColumn("pos", F.col("p") * (F.col("n") - 1)).where(holds(F.floor("pos")) | holds(F.ceil("pos")))
-    cut = at.groupBy("column_name", "p").agg(F.max(F.when(holds(F.floor("pos")), F.col("v"))).alias("a"), F.max(F.when(holds(F.ceil("pos")), F.col("v"))).alias("b"), F.max(F.col("pos") - F.floor("pos")).alias("f"))
-    wide = cut.groupBy("column_name").agg(*[F.max(F.when(F.col("p") == p, F.col("a") + (F.col("b") - F.col("a")) * F.col("f"))).alias(f"p{round(p * 100)}") for p in PROBS])
+    cut = quantiles(values.select("column_name", F.col("v").alias("score"), F.col("k").alias("n"), F.lit(0).alias("pos")), PROBS, ["column_name"])
+    wide = cut.groupBy("column_name").agg(*[F.max(F.when(F.col("prob") == p, F.col("value"))).alias(f"p{round(p * 100)}") for p in PROBS])
     return spread.join(wide, "column_name").select("column_name", "n", "mean", "std", "min", *[f"p{round(p * 100)}" for p in PROBS], "max")
 
 

@@ -290,7 +290,7 @@ def board_eligibility(spark: SparkSession, sf: str) -> DataFrame:
 @query(None)
 def bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
     rows = scored(spark, sf).where("split = 'test'").withColumn("pred", (F.col("score") >= 0.45).cast("int"))
-    return reports.confidence(rows, ID, "target", "pred", 1000)
+    return reports.confidence(rows, "target", "pred", 1000)
 
 
 # --- texts --------------------------------------------------------------------------------------------
