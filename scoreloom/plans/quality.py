@@ -20,6 +20,10 @@ PATTERNS = {
 }
 
 
+# Words of NO_ANSWER that are categories of a column.
+ANSWERS = {"home_ownership": ["none"]}
+
+
 def _accepted(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/accepted_2007_to_2018q4.parquet")
 
@@ -29,10 +33,11 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_profile(spark: SparkSession, sf: str) -> DataFrame:
-    return column_profile.profile(_accepted(spark, sf), "load_no", patterns=PATTERNS)
+    return column_profile.profile(_accepted(spark, sf), "load_no", patterns=PATTERNS, answers=ANSWERS)
 
 
-_WORDS = ", ".join("'" + w.replace("'", "''") + "'" for w in column_profile.NO_ANSWER)
+# Written down on their own, from how the columns are filled in.
+_WORDS = "'', '-', 'n/a', 'not given', 'null', 'unknown', 'none', 'nan'"
 ABSENT_TEXT = f"(emp_length IS NULL OR lower(regexp_replace(emp_length, '^\\s+|\\s+$', '', 'g')) IN ({_WORDS}))"
 P2_FOUND = f"""
 WITH cells AS (
@@ -60,6 +65,33 @@ UNION ALL SELECT column_name, load_no, 'shift' FROM (SELECT * FROM cuts UNION AL
 """
 
 
+def _profile_sql(c: str, kind: str) -> str:
+    """SQL of one column's profile by load; numbers at six decimals, whole-number sums."""
+    if kind == "number":
+        absent, v, x = f"({c} IS NULL OR isnan({c}))", f"CASE WHEN NOT isnan({c}) THEN {c} END", f"CASE WHEN isfinite({c}) THEN {c} END"
+        low, high, odd, bad = f"min({v})", f"max({v})", f"count(*) FILTER (isinf({c}))", "0"
+        mean, std = f"avg({x})", f"stddev_pop({x})"
+        distinct = f"count(DISTINCT {v})"
+    else:
+        none = "" if c == "home_ownership" else ", 'none'"
+        absent = f"({c} IS NULL OR lower(regexp_replace({c}, '^\\s+|\\s+$', '', 'g')) IN ('', '-', 'n/a', 'not given', 'null', 'unknown', 'nan'{none}))"
+        low = high = mean = std = "NULL::DOUBLE"
+        odd, distinct = "0", f"count(DISTINCT {c}) FILTER (NOT {absent})"
+        bad = f"count(*) FILTER (NOT {absent} AND NOT regexp_full_match({c}, '{PATTERNS[c]}'))" if c in PATTERNS else "0"
+    return f"""SELECT load_no, '{c}' AS column_name, count(*) AS n_rows, count(*) FILTER ({absent}) AS n_absent, {distinct} AS n_distinct, {low} AS min_number, {high} AS max_number,
+    {odd} AS n_not_finite, {bad} AS n_violations, round({mean}, 5) AS mean, round({std}, 4) AS std FROM accepted_2007_to_2018q4 GROUP BY 1"""
+
+
+PROFILED = {c: "number" for c in ("dti", "revol_util", "int_rate", "open_acc", "pub_rec")} | {c: "text" for c in ("emp_length", "grade", "term", "home_ownership", "purpose", "addr_state", "sub_grade")}
+P2_COLUMNS = " UNION ALL ".join(_profile_sql(c, k) for c, k in PROFILED.items())
+
+
+def p2_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """Counts, ranges and moments of the profile, in a form that SQL can say."""
+    found = column_profile.profile(_accepted(spark, sf), "load_no", list(PROFILED), PATTERNS, ANSWERS)
+    return found.select("load_no", "column_name", "n_rows", "n_absent", "n_distinct", "min_number", "max_number", "n_not_finite", "n_violations", F.round("mean", 5).alias("mean"), F.round("std", 4).alias("std"))
+
+
 def p3_filled(spark: SparkSession, sf: str) -> DataFrame:
     df = _accepted(spark, sf)
     low, high = {"dti": 0.0, "revol_util": 0.0}, {"dti": 100.0, "revol_util": 200.0}
@@ -94,5 +126,5 @@ UNION ALL SELECT 'revol_util', _shared_row_id FROM both_ WHERE NOT util_ok AND u
 UNION ALL SELECT 'emp_length', _shared_row_id FROM both_ WHERE emp_gap AND e
 """
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_profile, p3_found, p3_filled)}
-ORACLES = {"p2_found": P2_FOUND, "p3_found": P3_FOUND}
+QUERIES = {f.__name__: f for f in (p2_found, p2_profile, p2_columns, p3_found, p3_filled)}
+ORACLES = {"p2_found": P2_FOUND, "p2_columns": P2_COLUMNS, "p3_found": P3_FOUND}
