@@ -114,7 +114,8 @@ def impute(
 
     numbers: field -> range of filled values; categories: field -> classes, in a meaningful order.
     missing: which cells to fill; valid: which cells models may learn from (others, such as odd
-    wordings, are kept and not learnt).  helpers: complete-ish numeric columns used as inputs.
+    wordings, are kept and not learnt).  helpers: numeric columns used
+    as inputs; where one is null, NaN or infinite, the group's mean stands in for it.
     Result: key, the group columns g0.., and for each field its value and ``<field>_filled``.
 
     A cell is filled only if its group is complete (no null group column) and some row of the group
@@ -127,7 +128,7 @@ def impute(
     base = df.select(
         F.col(key).alias("key"),
         *[g.alias(n) for g, n in zip(groups, names)],
-        *[F.coalesce(F.when(F.isnan(F.col(h).cast("double")) | (F.abs(F.col(h).cast("double")) > 1e9), None).otherwise(F.col(h).cast("double")), F.lit(0.0)).alias(f"h{i}") for i, h in enumerate(helpers)],
+        *[F.when(F.abs(F.col(h).cast("double")) < 1e150, F.col(h).cast("double")).alias(f"h{i}") for i, h in enumerate(helpers)],
         *[F.col(f).alias(f"raw_{f}") for f in fields],
         *[F.coalesce(missing[f], F.lit(False)).alias(f"gap_{f}") for f in fields],
         *[F.coalesce(valid[f], F.lit(False)).alias(f"ok_{f}") for f in fields],
@@ -136,14 +137,17 @@ def impute(
     whole = F.lit(True)
     for n in names:
         whole = whole & F.col(n).isNotNull()
-    # First cycle starts from the group's mean and most common class.
-    starts = base.where(whole).groupBy(*names).agg(*[F.avg(F.when(F.col(f"ok_{f}"), F.col(f"raw_{f}"))).alias(f"s_{f}") for f in numbers], *[F.mode(F.when(F.col(f"ok_{f}"), F.col(f"raw_{f}")), True).alias(f"s_{f}") for f in categories])
+    # First cycle starts from the group's mean and most common class; helpers that a row lacks get its mean.
+    means = [F.avg(f"h{i}").alias(f"s_h{i}") for i in range(len(helpers))]
+    starts = base.where(whole).groupBy(*names).agg(*[F.avg(F.when(F.col(f"ok_{f}"), F.col(f"raw_{f}"))).alias(f"s_{f}") for f in numbers], *[F.mode(F.when(F.col(f"ok_{f}"), F.col(f"raw_{f}")), True).alias(f"s_{f}") for f in categories], *means)
     starts = checkpointed(starts)
     work = base.join(starts, names, "left")
     for f in fields:
         work = work.withColumn(f"fill_{f}", F.col(f"gap_{f}") & F.col(f"s_{f}").isNotNull())
         work = work.withColumn(f"v_{f}", F.when(F.col(f"ok_{f}"), F.col(f"raw_{f}")).otherwise(F.col(f"s_{f}")))
-    work = work.drop(*[f"s_{f}" for f in fields])
+    for i in range(len(helpers)):
+        work = work.withColumn(f"h{i}", F.coalesce(f"h{i}", f"s_h{i}", F.lit(0.0)))
+    work = work.drop(*[f"s_{f}" for f in fields], *[f"s_h{i}" for i in range(len(helpers))])
 
     def inputs(but: str) -> list[Column]:
         xs = [F.col(f"h{i}") for i in range(len(helpers))]
@@ -154,6 +158,8 @@ def impute(
         return xs
 
     for cycle in range(cycles):
+        # Written once a cycle, so that a fit repeats no more than the joins of its own cycle.
+        work = checkpointed(work)
         for f in fields:
             xs = inputs(f)
             learn = work.where(whole)
