@@ -184,6 +184,37 @@ def action_and_status(raw: Column, obj: Column) -> Column:
     )
 
 
+def parsed_response(raw: Column, obj: Column) -> Column:
+    """struct<action, label, reason, status> of a response that should be JSON with reason and action.
+
+    status: ok_json, fallback_from_text_no_json, fallback_from_text_bad_json_action or
+    fallback_default_approve.  In the text, reject is looked for first.
+    """
+    action, low = _field(obj, "action"), F.lower(F.coalesce(raw, F.lit("")))
+    sound = action.isin("reject", "approve")
+    said = F.when(low.contains("reject"), "reject").when(low.contains("approve"), "approve")
+    chosen = F.when(sound, action).otherwise(F.coalesce(said, F.lit("approve")))
+    status = F.when(sound, "ok_json").when(said.isNull(), "fallback_default_approve").when(obj.isNull(), "fallback_from_text_no_json").otherwise("fallback_from_text_bad_json_action")
+    reason = F.coalesce(strip(F.get_json_object(obj, "$.reason")), F.lit(""))
+    return F.struct(chosen.alias("action"), action_label(chosen).alias("label"), reason.alias("reason"), status.alias("status"))
+
+
+def action_label(action: Column, unknown: int | None = None) -> Column:
+    """1 for reject, 0 for approve, ``unknown`` for anything else (none, or 0 in the tolerant variant)."""
+    word = F.lower(strip(action))
+    return F.when(word == "reject", 1).when(word == "approve", 0).otherwise(F.lit(unknown).cast("int"))
+
+
+def label_action(label: Column) -> Column:
+    return F.when(label == 1, "reject").otherwise("approve")
+
+
+def logprob_audit(reject: Column, approve: Column, threshold: float) -> Column:
+    """The two candidates' log-probabilities, their difference and the threshold in one line."""
+    six = fixed(6)
+    return F.concat(F.lit("logprob(reject)="), six(reject), F.lit("; logprob(approve)="), six(approve), F.lit("; delta="), six(reject - approve), F.lit(f"; threshold={threshold:.6f}"))
+
+
 def teacher_check(raw: Column, obj: Column, label: Column) -> Column:
     """struct<ok, reason, normalized>: whether a teacher response can be used for a label."""
     think, decision = think_block(raw), _field(obj, "decision")

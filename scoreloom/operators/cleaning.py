@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scoreloom.functions.parsing import non_missing, null_if_nan, strip
+from scoreloom.functions.parsing import issue_year, non_missing, null_if_nan, strip
 
 PAID, CHARGED_OFF = "Fully Paid", "Charged Off"
+# Presets of the published subset rules (fixed values).
 PRESETS = {
     "default": {"grades": ["D", "E", "F", "G"], "least_rate": 16.0, "most_income": 50_000.0},
     "published": {"grades": ["E", "F", "G"], "least_rate": 18.5, "most_income": 92_500.0},
@@ -112,6 +113,42 @@ def head(df: DataFrame, order: str, n: int | None) -> DataFrame:
     return df.orderBy(order).limit(n) if n else df
 
 
-def fill_blank(df: DataFrame, column: str, word: str = "missing") -> DataFrame:
+def fill_blank(df: DataFrame, column: str, word: str = "missing") -> tuple[DataFrame, int]:
+    """(rows with blank texts replaced by a word, how many were)."""
     c = F.col(f"`{column}`")
-    return df.withColumn(column, F.when(c.isNull() | (strip(c) == ""), word).otherwise(c))
+    blank = F.coalesce(strip(c) == "", F.lit(True))
+    filled = df.agg(F.count_if(blank).alias("n")).first().n
+    return df.withColumn(column, F.when(blank, word).otherwise(c)), filled
+
+
+def capped_scan(df: DataFrame, order: str, keep: Column, most: int | None = None, chunks: int | None = None, chunk: int = 120_000) -> tuple[DataFrame, dict]:
+    """(kept rows, counters): the first ``most`` kept rows in order, of at most ``chunks`` chunks of the table.
+
+    order must number the rows from 0.  rows_seen counts what was scanned, rows_kept what is left.
+    """
+    seen = df.where(F.col(order) < chunks * chunk) if chunks else df
+    kept = seen.where(keep)
+    if most:
+        kept = kept.orderBy(order).limit(most)
+    return kept, {"rows_seen": seen.count(), "rows_kept": kept.count()}
+
+
+def with_year(df: DataFrame, column: str = "issue_year", source: str = "issue_d") -> DataFrame:
+    """The rows with the year, derived from the date text where the column is absent."""
+    return df if column in df.columns else df.withColumn(column, issue_year(F.col(source)))
+
+
+#: Columns that say how a loan ended or only name it, which a model must not read (fixed values).
+LEAKAGE = ["loan_status", "target", "total_pymnt", "recoveries", "last_pymnt_d", "last_pymnt_amnt", "out_prncp"]
+RESERVED = ["_shared_row_id", "loan_id", "load_no", "loaded_at", "partner_ref", "source", "split", "target", "desc", "desc_clean", "issue_d", "issue_year"]
+
+
+def without_leakage(df: DataFrame, more: Iterable[str] = ()) -> DataFrame:
+    return df.drop(*[c for c in [*LEAKAGE, *more] if c in df.columns])
+
+
+def roles(df: DataFrame, reserved: Iterable[str] = RESERVED) -> dict[str, list[str]]:
+    """Numeric and categorical inputs by type, in the order of the columns; reserved ones are neither."""
+    reserved = set(reserved)
+    numeric = [f.name for f in df.schema if f.name not in reserved and isinstance(f.dataType, T.NumericType)]
+    return {"numeric": numeric, "categorical": [f.name for f in df.schema if f.name not in reserved and isinstance(f.dataType, (T.StringType, T.BooleanType))]}

@@ -69,6 +69,35 @@ def stratified_split(df: DataFrame, key: str, target: str, test_size: float = 0.
     return r.withColumn("split", F.when(F.col("rank") <= t, "test").when(F.col("rank") <= t + v, "validation").otherwise("train_fit")).drop("rank")
 
 
+def two_way_split(df: DataFrame, key: str, target: str, test_size: float = 0.2, seed: str = "42") -> DataFrame:
+    """Rows with ``split``: train or test, with equal class shares up to rounding."""
+    if not 0 < test_size < 1:
+        raise ValueError("test_size must lie between 0 and 1")
+    counts = class_counts(df, target)
+    test = proportional(counts, math.ceil(sum(counts.values()) * test_size - 1e-9))
+    return class_rank(df, key, target, seed).withColumn("split", F.when(F.col("rank") <= _by_class(target, test), "test").otherwise("train")).drop("rank")
+
+
+def checked_split(df: DataFrame, key: str, target: str, test_size: float = 0.2, val_size: float = 0.2, seed: str = "42", tolerance: float = 0.01, strict: bool = True) -> tuple[DataFrame, dict]:
+    """(split rows, summary); an error if the positive rates differ by more than ``tolerance`` and it is strict.
+
+    Quotas are closed forms of the class counts, so another seed has the same rates and one attempt
+    is all there is to make.
+    """
+    counts = class_counts(df, target)
+    test, val = split_quotas(counts, test_size, val_size)
+    sizes = {"full": counts, "train_fit": {k: n - test[k] - val[k] for k, n in counts.items()}, "validation": val, "test": test}
+    rates = {k: (v.get(1, 0) / sum(v.values()) if sum(v.values()) else math.nan) for k, v in sizes.items()}
+    parts = [r for k, r in rates.items() if k != "full" and not math.isnan(r)]
+    gap, pair = max((abs(r - rates["full"]) for r in parts), default=0.0), max(parts, default=0.0) - min(parts, default=0.0)
+    met = gap <= tolerance and pair <= tolerance
+    if strict and not met:
+        raise ValueError(f"positive rates differ by {max(gap, pair):.4f}, more than {tolerance}")
+    report = {"selected_seed": seed, "attempts_used": 1, "rate_tolerance": tolerance, "rate_match_satisfied": met, "best_max_gap_vs_full": gap, "best_max_pair_gap": pair}
+    report |= {k: {"rows": sum(v.values()), "positive_rate": rates[k], "class_counts": v} for k, v in sizes.items()}
+    return stratified_split(df, key, target, test_size, val_size, seed), report
+
+
 def split_report(df: DataFrame, target: str, split: str = "split") -> DataFrame:
     """Rows and positive rate of the whole and of each split, with the gap to the whole."""
     parts = df.groupBy(split).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(target).cast("long")).alias("pos"))
@@ -114,6 +143,41 @@ def downsample_negatives(df: DataFrame, key: str, target: str, cap: int | None =
     return take(df, key, target, {0: pos, 1: pos}, seed)
 
 
+def preserve_ratio(df: DataFrame, key: str, target: str, size: int | None, seed: str = "42") -> DataFrame:
+    """About ``size`` rows with the classes' share kept, at least one of each; all rows if there are no more."""
+    counts = class_counts(df, target)
+    n = sum(counts.values())
+    if not size or size <= 0 or size >= n:
+        return df
+    pos = max(1, int(size * (counts.get(1, 0) / n)))
+    quota = {1: min(pos, counts.get(1, 0)), 0: min(max(1, size - pos), counts.get(0, 0))}
+    return take(df, key, target, quota, seed)
+
+
+def first_by_hash(df: DataFrame, key: str, n: int, seed: str = "42") -> DataFrame:
+    """A plain sample of n rows: those of the smallest hash.
+
+    Each task keeps its n smallest, so no task orders all rows.
+    """
+    return df.withColumn("_h", hash_key(key, seed)).orderBy("_h", key).limit(n).drop("_h")
+
+
+def balanced_time_split(df: DataFrame, key: str, target: str, year: str, train: tuple[int, int], test: tuple[int, int], cap: int | None = None, seed: str = "42") -> tuple[DataFrame, DataFrame, dict]:
+    """(train, test, summary): rows of the years, the train rows with as many negatives as positives.
+
+    An error if a period is empty or the train period has too few rows of a class.
+    """
+    before = df.where(F.col(year).between(*train))
+    later = df.where(F.col(year).between(*test))
+    old, new = class_counts(before, target), class_counts(later, target)
+    if not sum(old.values()) or not sum(new.values()):
+        raise ValueError("a period has no rows")
+    chosen = downsample_negatives(before, key, target, cap, seed)
+    n = min(old[1], cap) if cap else old[1]
+    summary = {"train_total_before": sum(old.values()), "train_pos_before": old.get(1, 0), "train_neg_before": old.get(0, 0), "train_pos_after": n, "train_neg_after": n, "test_total": sum(new.values()), "test_pos": new.get(1, 0), "test_neg": new.get(0, 0)}
+    return chosen, later, summary
+
+
 def oversample_positives(df: DataFrame, key: str, target: str, seed: str = "42") -> DataFrame:
     """Negatives once, positives drawn with replacement up to the same number; ``draw_no`` numbers draws.
 

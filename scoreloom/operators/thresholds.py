@@ -11,7 +11,6 @@ import math
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from scoreloom.operators import scores
 
@@ -64,7 +63,7 @@ def points(table: DataFrame, grid: list[float]) -> list[Point]:
     return out[::-1]
 
 
-def _close(a: float, b: float) -> bool:
+def nearly(a: float, b: float) -> bool:
     return a == b or (math.isfinite(a) and math.isfinite(b) and abs(a - b) <= 1e-8 + 1e-5 * abs(b))
 
 
@@ -81,8 +80,8 @@ def best_by(found: list[Point], metric: str = "balanced_accuracy", floor: float
         for p in found:
             if floor is not None and p.precision < floor:
                 continue
-            tie = _close(p.recall, score)
-            if p.recall > score or (tie and p.precision > precision) or (tie and _close(p.precision, precision) and (pick is None or p.threshold > pick.threshold)):
+            tie = nearly(p.recall, score)
+            if p.recall > score or (tie and p.precision > precision) or (tie and nearly(p.precision, precision) and (pick is None or p.threshold > pick.threshold)):
                 pick, score, precision = p, p.recall, p.precision
         if pick:
             return {"threshold": pick.threshold, "score": pick.recall, "satisfied": True, "fallback": None}
@@ -116,45 +115,3 @@ def best_business(found: list[Point], scan: list[Point], objective: str = "preci
             return {"threshold": pick.threshold, "score": first(pick)[0], "satisfied": level == 0, "fallback": (None, "without_precision_floor", "without_floors")[level], "precision": pick.precision, "recall": pick.recall, "reject_rate": pick.reject_rate}
     rest = best_by(scan, "precision" if objective.startswith("precision") else "recall_at_precision_floor", precision_floor)
     return rest | {"satisfied": False, "fallback": "no_threshold_in_band", "precision": None, "recall": None, "reject_rate": None}
-
-
-def manual_points(table: DataFrame, rate: float, grid: list[float] | None = None) -> list[tuple[Point, int, int]]:
-    """(automatic confusion, automatic rows, rows) of each threshold when the nearest rows go to review.
-
-    For every threshold the review set is the floor(rate * n) scores nearest to it.  In score order
-    that is one run, found from the running counts; of scores that tie at its edge the share of
-    positives is taken in proportion, as the tied rows cannot be told apart by score.
-    """
-    grid = grid or FINE
-    near = table.select(F.explode(F.array(*[F.lit(t) for t in grid])).alias("t"), "score", "n", "pos")
-    near = near.withColumn("d", -F.round(F.abs(F.col("score") - F.col("t")), 12)).groupBy("t", F.col("d").alias("score"), (F.col("score") >= F.col("t")).alias("over")).agg(F.sum("n").alias("n"), F.sum("pos").alias("pos"))
-    from pyspark.sql import Window
-
-    up = Window.partitionBy("t").orderBy(F.desc("score"), "over")
-    all_ = Window.partitionBy("t")
-    total = F.sum("n").over(all_)
-    seen = near.select("t", "over", "n", "pos", (F.sum("n").over(up) - F.col("n")).alias("before"), total.alias("total"))
-    k = F.least(F.floor(F.col("total") * rate + 1e-9), F.greatest(F.col("total") - 1, F.lit(0)))
-    taken = F.greatest(F.least(k - F.col("before"), F.col("n")), F.lit(0))
-    auto_n = F.col("n") - taken
-    auto_pos = F.col("pos") * auto_n / F.col("n")
-    sums = seen.select("t", "over", "total", "pos", auto_n.alias("a"), auto_pos.alias("p")).groupBy("t").agg(
-        F.sum(F.when(F.col("over"), F.col("p")).otherwise(0)).alias("tp"), F.sum(F.when(F.col("over"), F.col("a") - F.col("p")).otherwise(0)).alias("fp"), F.sum(F.when(~F.col("over"), F.col("a") - F.col("p")).otherwise(0)).alias("tn"), F.sum(F.when(~F.col("over"), F.col("p")).otherwise(0)).alias("fn"), F.sum("a").alias("auto"), F.max("total").alias("total"), F.sum("pos").alias("positives")
-    )
-    return [(Point(r.t, r.tp, r.fp, r.tn, r.positives - r.tp), r.auto, r.total) for r in sums.orderBy("t").collect()]
-
-
-def best_manual(found: list[tuple[Point, int, int]], precision_floor: float, low: float, high: float, min_auto_rate: float) -> dict | None:
-    """Best threshold under review, or null: recall, then precision, automatic share, threshold."""
-    pick, state = None, (-math.inf, -math.inf, -math.inf)
-    for p, auto, total in found:
-        n = max(total, 1)
-        rate = (p.tp + p.fp) / n
-        if p.precision < precision_floor or not low <= rate <= high or auto / n < min_auto_rate:
-            continue
-        r, q, a = p.recall, p.precision, auto / n
-        tie_r, tie_q = _close(r, state[0]), _close(q, state[1])
-        if r > state[0] or (tie_r and q > state[1]) or (tie_r and tie_q and a > state[2]) or (tie_r and tie_q and _close(a, state[2]) and pick is not None and p.threshold > pick["threshold"]):
-            state = (r, q, a)
-            pick = {"threshold": p.threshold, "recall": r, "precision": q, "auto_rate": a, "reject_rate": rate}
-    return pick
