@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.ml import Pipeline, Transformer
+from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import CountVectorizer, NGram, RegexTokenizer, VectorAssembler
+from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, NGram, Normalizer, RegexTokenizer, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.linalg import Vectors, VectorUDT
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scoreloom.operators.scores import quantiles, score_table
+from scoreloom.operators.scores import classification_columns, confusion, quantiles, score_table
 
 
 def finite(c: str) -> Column:
@@ -34,15 +36,38 @@ def imputation_values(df: DataFrame, numeric: list[str], categorical: list[str])
     return out
 
 
-def standardised(df: DataFrame, columns: list[str], fitted: DataFrame | None = None) -> DataFrame:
-    """Columns with median imputation, then (x - mean) / population deviation (1 if it is 0)."""
+def scales(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float, float]]:
+    """(median, mean after filling, population deviation or 1) of each column."""
     if not columns:
-        return df
-    fit = fitted if fitted is not None else df
-    medians = imputation_values(fit, columns, [])
+        return {}
+    medians = imputation_values(df, columns, [])
     value = {c: F.coalesce(finite(c), F.lit(medians.get(c, 0.0))) for c in columns}
-    row = fit.agg(*[F.avg(v).alias(f"m_{c}") for c, v in value.items()], *[F.stddev_pop(v).alias(f"s_{c}") for c, v in value.items()]).first()
-    return df.withColumns({f"z_{c}": (v - F.lit(row[f"m_{c}"])) / F.lit(row[f"s_{c}"] or 1.0) for c, v in value.items()})
+    row = df.agg(*[F.avg(v).alias(f"m_{c}") for c, v in value.items()], *[F.stddev_pop(v).alias(f"s_{c}") for c, v in value.items()]).first()
+    return {c: (medians.get(c, 0.0), row[f"m_{c}"] or 0.0, row[f"s_{c}"] or 1.0) for c in columns}
+
+
+def scaled(c: str, scale: tuple[float, float, float]) -> Column:
+    """(x - mean) / deviation, a missing x being the median."""
+    median, mean, deviation = scale
+    return (F.coalesce(finite(c), F.lit(median)) - F.lit(mean)) / F.lit(deviation)
+
+
+def standardised(df: DataFrame, columns: list[str], fitted: DataFrame | None = None) -> DataFrame:
+    """Columns with median imputation, then (x - mean) / population deviation (1 if it is 0)."""
+    fit = scales(fitted if fitted is not None else df, columns)
+    return df.withColumns({f"z_{c}": scaled(c, fit[c]) for c in columns}) if columns else df
+
+
+def categories_seen(df: DataFrame, columns: list[str], most: int = 1000) -> dict[str, tuple[str | None, list[str]]]:
+    """(mode, sorted categories) of each column; an error beyond ``most`` categories, which is no categorical feature."""
+    modes = imputation_values(df, [], columns) if columns else {}
+    out = {}
+    for c in columns:
+        seen = [r[0] for r in df.where(F.col(c).isNotNull()).select(c).distinct().orderBy(c).limit(most + 1).collect()]
+        if len(seen) > most:
+            raise ValueError(f"{c} has more than {most} categories")
+        out[c] = (modes.get(c), seen)
+    return out
 
 
 def one_hot(df: DataFrame, columns: list[str], fitted: DataFrame | None = None, most: int = 1000) -> tuple[DataFrame, dict[str, tuple[str, str]]]:
@@ -51,14 +76,9 @@ def one_hot(df: DataFrame, columns: list[str], fitted: DataFrame | None = None,
     Columns are numbered, as categories may differ in case only.  most: an error beyond so many
     categories of a column, which is no categorical feature then.
     """
-    fit = fitted if fitted is not None else df
-    modes = imputation_values(fit, [], columns) if columns else {}
     out, names = {}, {}
-    for c in columns:
-        seen = [r[0] for r in fit.where(F.col(c).isNotNull()).select(c).distinct().orderBy(c).limit(most + 1).collect()]
-        if len(seen) > most:
-            raise ValueError(f"{c} has more than {most} categories")
-        v = F.coalesce(F.col(c), F.lit(modes.get(c)))
+    for c, (mode, seen) in categories_seen(fitted if fitted is not None else df, columns, most).items():
+        v = F.coalesce(F.col(c), F.lit(mode))
         for i, k in enumerate(seen):
             out[f"is_{c}_{i}"] = F.coalesce((v == k).cast("double"), F.lit(0.0))
             names[f"is_{c}_{i}"] = (c, k)
@@ -75,9 +95,11 @@ def term_weights(df: DataFrame, key: str, text: str, least_documents: int = 5) -
     tf = df.select(F.col(key), F.explode(F.concat(words, pairs)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
     n = df.agg(F.count(F.lit(1)).alias("n"))
     known = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= least_documents).crossJoin(F.broadcast(n)).withColumn("idf", F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).drop("n")
+    # Which side is sent whole is left to adaptive execution, by the measured size of the vocabulary.
+    # The norm is over the texts' own partitioning where the join keeps it.
     raw = tf.join(known, "term").withColumn("raw", F.col("tf") * F.col("idf"))
-    norms = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return raw.join(norms, key).select(key, "term", "tf", "df", "idf", (F.col("raw") / F.col("norm")).alias("weight"))
+    norm = F.sqrt(F.sum(F.col("raw") * F.col("raw")).over(Window.partitionBy(key)))
+    return raw.withColumn("weight", F.col("raw") / norm).select(key, "term", "tf", "df", "idf", "weight")
 
 
 def class_weights(df: DataFrame, target: str) -> dict[int, float]:
@@ -94,8 +116,16 @@ def weighted(df: DataFrame, target: str, name: str = "weight") -> DataFrame:
     return df.withColumn(name, c)
 
 
+def _flags(value: Column, categories: list[str]) -> Column:
+    """An array with 1 where the value is the category, and 0."""
+    return F.transform(F.array(*map(F.lit, categories)), lambda k: F.coalesce((value == k).cast("double"), F.lit(0.0)))
+
+
 class Tabular:
-    """Imputed, scaled and one-hot encoded columns, and optionally TF-IDF of a text, as one vector."""
+    """Imputed, scaled and one-hot encoded columns, and optionally TF-IDF of a text, as one vector.
+
+    Everything learnt is learnt in ``fit``; ``transform`` is expressions and Spark ML stages only.
+    """
 
     def __init__(self, numeric: list[str], categorical: list[str], text: str | None = None, least_documents: int = 5, vocabulary: int = 30_000):
         if not numeric and not categorical and not text:
@@ -104,47 +134,30 @@ class Tabular:
         self.least_documents, self.vocabulary = least_documents, vocabulary
 
     def fit(self, df: DataFrame) -> "Tabular":
-        self.fitted = df
-        self.names = [f"z_{c}" for c in self.numeric] + list(one_hot(df, self.categorical)[1])
+        self.scales, self.seen = scales(df, self.numeric), categories_seen(df, self.categorical)
         if self.text:
-            stages = [
-                RegexTokenizer(inputCol="_text", outputCol="_w1", pattern=r"(?U)\b\w\w+\b", gaps=False),
-                NGram(n=2, inputCol="_w1", outputCol="_w2"),
-            ]
-            tokens = Pipeline(stages=stages)
-            self.tokens = tokens.fit(self._with_text(df))
-            terms = self.tokens.transform(self._with_text(df)).withColumn("_terms", F.concat("_w1", "_w2"))
-            self.counts = CountVectorizer(inputCol="_terms", outputCol="_tf", minDF=float(self.least_documents), vocabSize=self.vocabulary).fit(terms)
-            # IDF with smoothing: document frequencies of the vocabulary, a bounded list.
-            freq = {r.t: r.n for r in terms.select(F.explode(F.array_distinct("_terms")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).where(F.col("t").isin(self.counts.vocabulary)).collect()} if len(self.counts.vocabulary) <= self.vocabulary else {}
-            n = df.count()
-            import math
-
-            self.idf = [math.log((1 + n) / (1 + freq.get(t, 0))) + 1 for t in self.counts.vocabulary]
+            split = [RegexTokenizer(inputCol="_text", outputCol="_w1", pattern=r"(?U)\b\w\w+\b", gaps=False), NGram(n=2, inputCol="_w1", outputCol="_w2"), SQLTransformer(statement="SELECT *, concat(_w1, _w2) AS _terms FROM __THIS__")]
+            count = CountVectorizer(inputCol="_terms", outputCol="_tf", minDF=float(self.least_documents), vocabSize=self.vocabulary)
+            self.tokens = Pipeline(stages=[*split, count]).fit(self._with_text(df))
+            found = IDF(inputCol="_tf", outputCol="_idf").fit(self.tokens.transform(self._with_text(df)))
+            # Smoothed, and never 0: ln((1 + n) / (1 + df)) + 1.
+            weights = [math.log((1 + found.numDocs) / (1 + d)) + 1 for d in found.docFreq]
+            self.weighing = PipelineModel([ElementwiseProduct(scalingVec=Vectors.dense(weights), inputCol="_tf", outputCol="_weighed"), Normalizer(p=2.0, inputCol="_weighed", outputCol="_tfidf")])
         return self
 
     def _with_text(self, df: DataFrame) -> DataFrame:
         return df.withColumn("_text", F.lower(F.coalesce(F.col(self.text), F.lit(""))))
 
     def transform(self, df: DataFrame, out: str = "features") -> DataFrame:
-        wide, _ = one_hot(standardised(df, self.numeric, self.fitted), self.categorical, self.fitted)
-        parts = list(self.names)
+        cells = [scaled(c, self.scales[c]) for c in self.numeric]
+        flags = [_flags(F.coalesce(F.col(c), F.lit(mode)), seen) for c, (mode, seen) in self.seen.items() if seen]
+        wide, parts = df, []
+        if cells or flags:
+            wide, parts = wide.withColumn("_cells", array_to_vector(F.concat(F.array(*cells).cast("array<double>"), *flags) if cells else F.concat(*flags))), ["_cells"]
         if self.text:
-            terms = self.tokens.transform(self._with_text(wide)).withColumn("_terms", F.concat("_w1", "_w2"))
-            idf = self.idf
-
-            @F.udf(VectorUDT())
-            def scale(v):  # sparse term counts of one text
-                import math
-
-                values = [x * idf[i] for i, x in zip(v.indices, v.values)]
-                norm = math.sqrt(sum(x * x for x in values)) or 1.0
-                return Vectors.sparse(v.size, list(v.indices), [x / norm for x in values])
-
-            wide = self.counts.transform(terms).withColumn("_tfidf", scale("_tf"))
-            parts.append("_tfidf")
+            wide, parts = self.weighing.transform(self.tokens.transform(self._with_text(wide))), [*parts, "_tfidf"]
         vector = VectorAssembler(inputCols=parts, outputCol=out).transform(wide)
-        return vector.drop(*self.names, "_text", "_w1", "_w2", "_terms", "_tf", "_tfidf")
+        return vector.drop("_cells", "_text", "_w1", "_w2", "_terms", "_tf", "_weighed", "_tfidf")
 
 
 def logistic(features: str = "features", target: str = "target", weight: str = "weight", total_weight: float = 1.0) -> LogisticRegression:
@@ -162,11 +175,9 @@ def probability(model: Transformer, df: DataFrame, out: str = "score") -> DataFr
 
 
 def fit_logistic(df: DataFrame, features: str, target: str):
-    train = weighted(df, target).cache()
-    total = train.agg(F.sum("weight")).first()[0] or 1.0
-    model = logistic(features, target, "weight", total).fit(train)
-    train.unpersist()
-    return model
+    """The balanced model; the weights of all rows add up to their number, whatever the classes."""
+    train = weighted(df.select(features, target).where(F.col(target).isNotNull()), target)
+    return logistic(features, target, "weight", float(train.count() or 1)).fit(train)
 
 
 def out_of_fold(df: DataFrame, fold: str, k: int, features: str, target: str, out: str) -> DataFrame:
@@ -178,6 +189,17 @@ def out_of_fold(df: DataFrame, fold: str, k: int, features: str, target: str, ou
     return reduce(DataFrame.unionByName, parts)
 
 
+def cross_validated(df: DataFrame, fold: str, k: int, target: str, fit: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]) -> DataFrame:
+    """(folds, mean, std) of balanced accuracy; fit(train) gives a function that adds ``pred`` to rows.
+
+    std is that of the population of folds.
+    """
+    parts = [fit(df.where(F.col(fold) != i))(df.where(F.col(fold) == i)).select(F.lit(i).alias("fold"), F.col(target), "pred") for i in range(k)]
+    cells = confusion(reduce(DataFrame.unionByName, parts), target, "pred", ["fold"])
+    each = cells.select(classification_columns()["balanced_accuracy"].alias("b"))
+    return each.agg(F.count("b").alias("folds"), F.avg("b").alias("mean"), F.stddev_pop("b").alias("std"))
+
+
 def embedding_vector(c: Column) -> Column:
     """An array of floats as a vector of length one."""
     norm = F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))

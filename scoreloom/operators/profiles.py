@@ -105,3 +105,9 @@ def score(df: DataFrame, profile: DataFrame, numeric: dict[str, list[float]], ca
         total = total + risk * p["weight"]
         weights += p["weight"]
     return df.select("*", (total / (weights or 1.0)).alias(out), *(parts if contributions else []))
+
+
+def export(profile: DataFrame) -> DataFrame:
+    """The profile with bad_rate and ``place`` by falling weight, risk and rows; it has a few dozen rows a feature."""
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("weight"), F.desc("risk"), F.desc("n"), "feature", "bucket"))
+    return profile.withColumn("bad_rate", F.try_divide("bad", "n")).withColumn("place", place)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -115,3 +116,15 @@ def choose_features(df: DataFrame, numeric: list[str], categorical: list[str], t
         "dropped_by_constant": sorted(still),
         "dropped_by_high_correlation": gone,
     }
+
+
+def bundle(df: DataFrame, target: str, groups: list[str], texts: list[str], numbers: list[str]) -> DataFrame:
+    """(part, item, measure, value): the exploration report of a table in one long frame; a null item is ''."""
+    row = lambda d, part, item, measure, value: d.select(F.lit(part).alias("part"), item.alias("item"), F.lit(measure).alias("measure"), value.cast("double").alias("value"))
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    parts = [row(by_group(df, g, target), f"target_by_{g.removeprefix('issue_')}", text(g), "target_rate", F.col("target_rate")) for g in groups]
+    parts.append(row(value_counts(df, texts), "value_counts", F.concat("column_name", F.lit("="), text("value")), "n", F.col("n")))
+    told = describe(df, numbers)
+    parts += [row(told, "numbers", F.col("column_name"), m, F.col(m)) for m in ("mean", "min", "p50", "max")]
+    parts.append(row(missing_ratios(df, numbers), "missing", F.col("column_name"), "missing_ratio", F.col("missing_ratio")))
+    return reduce(DataFrame.unionByName, parts)

@@ -240,12 +240,6 @@ def manual_policy(spark: SparkSession, sf: str) -> DataFrame:
     return rows.agg(F.count_if("manual").alias("n_manual"), F.count_if(auto).alias("n_auto"), F.count_if(auto & over & bad).alias("tp_auto"), F.count_if(auto & over & ~bad).alias("fp_auto"), F.count_if(auto & ~over & bad).alias("fn_auto"), F.count_if(bad).alias("positives"))
 
 
-@query(None)
-def manual_threshold(spark: SparkSession, sf: str) -> DataFrame:
-    best = thresholds.best_manual(thresholds.manual_points(_validation(spark, sf), 0.1), 0.2, 0.1, 0.6, 0.8)
-    return spark.createDataFrame([tuple(float(best[k]) for k in ("threshold", "recall", "precision", "auto_rate"))] if best else [], "threshold double, recall double, precision double, auto_rate double")
-
-
 @query(f"WITH {SCORED}, v AS (SELECT * FROM scored WHERE split = 'test') SELECT _shared_row_id, row_number() OVER (ORDER BY score DESC, _shared_row_id) <= floor(count(*) OVER () * 0.35) AS rejected FROM v")
 def exact_top_k(spark: SparkSession, sf: str) -> DataFrame:
     return scores.exact_top(scored(spark, sf).where("split = 'test'"), "score", ID, 0.35).select(ID, "rejected")

@@ -3,10 +3,10 @@
 import pytest
 from compare import spark_rows, sql_rows
 
-from scoreloom.plans import data_queries, model_queries, quality
+from scoreloom.plans import data_queries, model_queries, quality, workflow_queries
 
-QUERIES = {**data_queries.QUERIES, **model_queries.QUERIES, **quality.QUERIES}
-ORACLES = {**data_queries.ORACLES, **model_queries.ORACLES, **quality.ORACLES}
+QUERIES = {**data_queries.QUERIES, **model_queries.QUERIES, **quality.QUERIES, **workflow_queries.QUERIES}
+ORACLES = {**data_queries.ORACLES, **model_queries.ORACLES, **quality.ORACLES, **workflow_queries.ORACLES}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
