@@ -102,9 +102,34 @@ def stable_order(spark: SparkSession, sf: str) -> DataFrame:
     return alignment.row_ids(keyed, "k", "pos").select(ID, (F.col("pos") + 1).alias("pos"))
 
 
-@query(None)
+_RAW_TEXTS = ["addr_state", "application_type", "desc", "emp_length", "grade", "home_ownership", "issue_d", "loan_status", "partner_ref", "purpose", "sub_grade", "term", "verification_status"]
+_RAW_DOUBLES = ["annual_inc", "dti", "fico_range_high", "fico_range_low", "installment", "int_rate", "loan_amnt", "open_acc", "pub_rec", "revol_bal", "revol_util", "total_acc"]
+_RAW_OTHERS = ["_shared_row_id", "issue_year", "load_no", "loaded_at", "loan_id", "target"]
+_NAMED = ["sub_grade", "fico_range_high"]
+
+
+def _gone_sql(c: str) -> str:
+    q = f'"{c}"'
+    if c in _RAW_TEXTS:
+        return f"({q} IS NULL OR lower(regexp_replace({q}, '^{_SPACE_}+|{_SPACE_}+$', '', 'g')) IN ('', 'nan'))"
+    return f"({q} IS NULL OR isnan({q}))" if c in _RAW_DOUBLES else f"({q} IS NULL)"
+
+
+_SPACE_ = r"[\s\x{00A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{3000}\x{0085}]"
+_STILL = lambda c: f'CASE WHEN NOT isnan("{c}") THEN "{c}" END' if c in _RAW_DOUBLES else f'"{c}"'
+_LEFT = [c for c in [*_RAW_TEXTS, *_RAW_DOUBLES, *_RAW_OTHERS] if c not in _NAMED]
+_FACTS = " UNION ALL ".join(
+    f"SELECT '{c}' AS c, count(*) FILTER ({_gone_sql(c)}) / count(*) > 0.4 AS sparse, count({_STILL(c)}) = 0 OR count({_STILL(c)}) = count(*) AND min({_STILL(c)}) = max({_STILL(c)}) AS still FROM sound" for c in _LEFT if c != "target"
+)
+_CLEANED = f"""WITH {LOANS}, sound AS (SELECT * FROM loans WHERE NOT {_gone_sql('desc')} AND NOT {_gone_sql('issue_year')} AND NOT {_gone_sql('loan_amnt')} AND NOT {_gone_sql('dti')}), f AS ({_FACTS}),
+n AS (SELECT (SELECT count(*) FROM loans) AS a, (SELECT count(*) FROM sound) AS b)
+SELECT a::VARCHAR AS rows_before, b::VARCHAR AS rows_after, (a - b)::VARCHAR AS rows_dropped, '{",".join(_NAMED)}' AS dropped_named, coalesce((SELECT string_agg(c, ',' ORDER BY c) FROM f WHERE sparse), '') AS dropped_missing,
+coalesce((SELECT string_agg(c, ',' ORDER BY c) FROM f WHERE still AND NOT sparse), '') AS dropped_constant, (SELECT string_agg(c, ',' ORDER BY c) FROM (SELECT c FROM f WHERE NOT sparse AND NOT still UNION ALL SELECT 'target')) AS columns FROM n"""
+
+
+@query(_CLEANED)
 def cleaning_report(spark: SparkSession, sf: str) -> DataFrame:
-    rows, report = cleaning.clean(loans(spark, sf), ["desc", "issue_year", "loan_amnt", "dti"], ["sub_grade", "fico_range_high"], True, 0.4, ["target"])
+    rows, report = cleaning.clean(loans(spark, sf), ["desc", "issue_year", "loan_amnt", "dti"], _NAMED, True, 0.4, ["target"])
     out = {k: v if isinstance(v, int) else ",".join(v) for k, v in report.items()} | {"columns": ",".join(sorted(rows.columns))}
     return spark.createDataFrame([{k: str(v) for k, v in out.items()}])
 
@@ -145,16 +170,18 @@ def safe_float(spark: SparkSession, sf: str) -> DataFrame:
     return df.select(ID, parsing.safe_float(F.concat(F.format_string("%.2f", "int_rate"), F.lit("%"))).alias("rate"), parsing.safe_float(F.format_number(F.col("loan_amnt").cast("bigint"), 0)).alias("amount"))
 
 
-@query(None)
-def clean_text(spark: SparkSession, sf: str) -> DataFrame:
-    return accepted(spark, sf).where(F.col("`desc`").isNotNull()).select(ID, texts.clean_text(F.col("`desc`")).alias("desc_clean"))
+_SPACE = r"[\s\x{00A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{3000}\x{0085}]"
+# Entities that writers use (fixed values); the ampersand comes last, so that nothing is resolved twice.
+_ENTITIES = [("&gt;", ">"), ("&lt;", "<"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", "\u00a0"), ("&amp;", "&")]
+_PLAIN = "CASE WHEN lower(trim(\"desc\")) = 'nan' THEN '' ELSE \"desc\" END"
+for _a, _b in _ENTITIES:
+    _PLAIN = f"replace({_PLAIN}, '{_a}', '{_b}')"
+CLEAN = f"lower(regexp_replace(regexp_replace(regexp_replace({_PLAIN}, '<[^>]+>', ' ', 'g'), '{_SPACE}+', ' ', 'g'), '^ | $', '', 'g'))"
 
 
-@query(r"""SELECT _shared_row_id, lower(trim(regexp_replace(regexp_replace(CASE WHEN lower(trim("desc")) = 'nan' THEN '' ELSE "desc" END, '<[^>]+>', ' ', 'g'), '[\s\x{00A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{3000}\x{0085}]+', ' ', 'g'))) AS desc_clean
-  FROM accepted_2007_to_2018q4 WHERE "desc" IS NOT NULL AND NOT contains("desc", '&')""")
-def clean_text_plain(spark: SparkSession, sf: str) -> DataFrame:
-    df = accepted(spark, sf).where(F.col("`desc`").isNotNull() & ~F.col("`desc`").contains("&"))
-    return df.select(ID, texts.clean_text(F.col("`desc`"), entities=False).alias("desc_clean"))
+@query(f'SELECT _shared_row_id, {CLEAN} AS desc_clean FROM accepted_2007_to_2018q4 WHERE "desc" IS NOT NULL')
+def clean_text(spark: SparkSession, sf: str) -> DataFrame:
+    return accepted(spark, sf).where(F.col("`desc`").isNotNull()).select(ID, texts.clean_text(F.col("`desc`")).alias("desc_clean"))
 
 
 # --- exploration ---------------------------------------------------------------------------------
@@ -219,8 +246,20 @@ def corr_matrix(spark: SparkSession, sf: str) -> DataFrame:
     return summaries.correlations(split_rows(spark, sf), NUMERIC, "target").withColumn("r", F.round("r", 6))
 
 
-@query(None)
+def _worth_sql(names: list[str], source: str) -> str:
+    """SQL: (c, i, worth, gap) of columns, and the pairs (a, b) that correlate at 0.98 or above."""
+    from itertools import combinations
+
+    v = lambda c: "target" if c == "target" else f"CASE WHEN isfinite({c}) THEN {c} END"
+    r = lambda a, b: f"(SELECT covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0) FROM (SELECT {v(a)} AS x, {v(b)} AS y FROM {source}) WHERE x IS NOT NULL AND y IS NOT NULL)"
+    cols = " UNION ALL ".join(f"SELECT '{c}' AS c, {i} AS i, coalesce(abs({r(c, 'target')}), 0) AS worth, (SELECT count(*) FILTER ({c} IS NULL OR isnan({c})) / count(*) FROM {source}) AS gap" for i, c in enumerate(names))
+    pairs = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, {r(a, b)} AS r" for a, b in combinations(names, 2))
+    return f"cols AS ({cols}), pairs AS (SELECT * FROM ({pairs}) WHERE abs(r) >= 0.98 - 1e-12), losers AS (SELECT DISTINCT CASE WHEN (x.worth, -x.gap) < (y.worth, -y.gap) THEN a ELSE b END AS c FROM pairs JOIN cols x ON x.c = a JOIN cols y ON y.c = b)"
+
+
+@query(f"WITH src AS (SELECT *, loan_amnt * 2 AS twice_loan FROM shared_split), {_worth_sql([*NUMERIC, 'twice_loan'], 'src')} SELECT c AS column_name, c IN (SELECT c FROM losers) AS dropped FROM cols")
 def corr_prune(spark: SparkSession, sf: str) -> DataFrame:
+    """Greedy pruning; no dropped column is the rival of another here, so the SQL needs no order."""
     rows = split_rows(spark, sf).withColumn("twice_loan", F.col("loan_amnt") * 2)
     names = [*NUMERIC, "twice_loan"]
     found = {(r.a, r.b): r.r for r in summaries.correlations(rows, names, "target").collect()}
@@ -229,7 +268,20 @@ def corr_prune(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(c, c in gone) for c in names], "column_name string, dropped boolean")
 
 
-@query(None)
+_TRAIN = "src AS (SELECT * FROM shared_split WHERE split = 'train_fit')"
+_STATE = " UNION ALL ".join(
+    f"SELECT '{c}' AS c, {i} AS i, {str(c in NUMERIC).lower()} AS numeric, count(*) FILTER ({c} IS NULL OR {f'isnan({c})' if c in NUMERIC else f"lower(trim({c})) IN ('', 'nan')"}) / count(*) > 0.3 AS sparse, count({v}) = 0 OR count({v}) = count(*) AND min({v}) = max({v}) AS still FROM src"
+    for i, (c, v) in enumerate([(c, clean_sql(c)) for c in NUMERIC] + [(c, c) for c in CATEGORICAL])
+)
+
+
+@query(
+    f"WITH {_TRAIN}, {_worth_sql(NUMERIC, 'src')}, st AS ({_STATE}), kept AS (SELECT * FROM st WHERE NOT sparse AND NOT still) "
+    + " UNION ALL ".join(
+        f"SELECT '{part}' AS part, coalesce((SELECT string_agg(c, ',' ORDER BY {order}) FROM {rows}), '') AS columns"
+        for part, rows, order in (("selected_numeric_columns", "kept WHERE numeric AND c NOT IN (SELECT c FROM losers)", "i"), ("selected_categorical_columns", "kept WHERE NOT numeric", "i"), ("dropped_by_missing_ratio", "st WHERE sparse", "i"), ("dropped_by_constant", "st WHERE still AND NOT sparse", "c"), ("dropped_by_high_correlation", "kept WHERE numeric AND c IN (SELECT c FROM losers)", "i"))
+    )
+)
 def feature_selection(spark: SparkSession, sf: str) -> DataFrame:
     report = summaries.choose_features(split_rows(spark, sf).where("split = 'train_fit'"), NUMERIC, CATEGORICAL, "target")
     return spark.createDataFrame([(k, ",".join(v)) for k, v in report.items()], "part string, columns string")

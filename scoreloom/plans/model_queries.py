@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scoreloom import scorers
 from scoreloom.functions import parsing, registry, texts
 from scoreloom.operators import features, profiles, reports, scores, splits, thresholds
+from scoreloom.plans.data_queries import CLEAN
 from scoreloom.plans.tables import CATEGORICAL, NUMERIC, SCORED, accepted, clean_sql, scored, split_rows, table
 
 QUERIES: dict = {}
@@ -221,14 +222,22 @@ def threshold_balanced(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(round(best["threshold"], 9), round(best["score"], 6))], "threshold double, score double")
 
 
-@query(None)
+_PERCENTILES = "[" + ", ".join(repr(0.01 + i * (0.98 / 98)) for i in range(99)) + "]"
+_BUSINESS = f"""WITH {SCORED}, v AS (SELECT * FROM scored WHERE split = 'validation'), cuts AS (SELECT 0.01 + i * (0.98 / 196) AS t FROM range(0, 197) u(i) UNION SELECT unnest(quantile_cont(score, {_PERCENTILES})) FROM v),
+c AS (SELECT t, count(*) FILTER (score >= t AND target = 1) AS tp, count(*) FILTER (score >= t) AS rej, count(*) FILTER (target = 1) AS pos, count(*) AS n FROM v, cuts GROUP BY t),
+p AS (SELECT t, coalesce(tp / nullif(rej, 0), 0) AS p, coalesce(tp / nullif(pos, 0), 0) AS r, rej / n AS rr FROM c WHERE rej / n BETWEEN 0.2 AND 0.5)"""
+
+
+@query(f"""{_BUSINESS} SELECT * FROM (SELECT 'band' AS policy, round(t, 9) AS threshold, round(p, 9) AS score, true AS satisfied, NULL AS fallback FROM p ORDER BY p DESC, r DESC, abs(rr - 0.35), rr, t DESC LIMIT 1)
+UNION ALL SELECT * FROM (SELECT 'floor_unmet', round(t, 9), round(p, 9), false, 'without_precision_floor' FROM p ORDER BY p DESC, r DESC, abs(rr - 0.35), rr, t DESC LIMIT 1)
+UNION ALL SELECT * FROM (SELECT 'recall', round(t, 9), round(r, 9), true, NULL FROM p WHERE p >= 0.2 ORDER BY r DESC, p DESC, abs(rr - 0.35), rr, t DESC LIMIT 1)""")
 def threshold_business(spark: SparkSession, sf: str) -> DataFrame:
     t = _validation(spark, sf)
     found, scan = thresholds.points(t, thresholds.business_grid(t)), thresholds.points(t, thresholds.SCAN)
     rows = []
     for name, args in {"band": {}, "floor_unmet": {"precision_floor": 0.99}, "recall": {"objective": "recall_at_precision_floor", "precision_floor": 0.2}}.items():
         b = thresholds.best_business(found, scan, low=0.2, high=0.5, target=0.35, **args)
-        rows.append((name, float(b["threshold"]), float(b["score"]), bool(b["satisfied"]), b["fallback"]))
+        rows.append((name, round(float(b["threshold"]), 9), round(float(b["score"]), 9), bool(b["satisfied"]), b["fallback"]))
     return spark.createDataFrame(rows, "policy string, threshold double, score double, satisfied boolean, fallback string")
 
 
@@ -315,25 +324,35 @@ def parse_feature_text(spark: SparkSession, sf: str) -> DataFrame:
     return back.select(ID, *[F.col("p.features")[k].alias(k) for k in ("loan_amnt", "grade", "purpose")], F.col("p.description").alias("description"))
 
 
-@query(None)
+_TRIMMED = r"regexp_replace({0}, '^[\s\x{{00A0}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{3000}}\x{{0085}}]+|[\s\x{{00A0}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{3000}}\x{{0085}}]+$', '', 'g')"
+_SAID = lambda c: f"coalesce(nullif({_TRIMMED.format(c)}, ''), 'missing')"
+_NUMBER = lambda c, style: f"CASE WHEN {c} IS NULL OR isnan({c}) THEN 'missing' ELSE format('{{:{style}}}', {c}) END"
+
+
+@query("SELECT _shared_row_id, '[Structured Risk Features]' || chr(10) || " + " || chr(10) || ".join([f"'{c}: ' || {_NUMBER(c, '.6g')}" for c in NUMERIC] + [f"'{c}: ' || {_SAID(c)}" for c in CATEGORICAL]) + f" || chr(10) || chr(10) || '[Borrower Description]' || chr(10) || {_SAID('desc_clean')} AS input FROM shared_split")
 def feature_text_numbers(spark: SparkSession, sf: str) -> DataFrame:
     df = split_rows(spark, sf)
     cells = [(n, texts.value_text(F.col(n), True)) for n in NUMERIC] + [(n, texts.value_text(F.col(n), False)) for n in CATEGORICAL]
     return df.select(ID, texts.feature_text(cells, F.col("desc_clean")).alias("input"))
 
 
-@query(None)
+# Sections and labels of the profile text: its format, word for word (fixed values).
+SECTIONS = [
+    ("Loan Application Profile", [("Loan amount", "loan_amnt"), ("Term", "term"), ("Interest rate", "int_rate"), ("Installment", "installment"), ("Purpose", "purpose"), ("Application type", "application_type")]),
+    ("Borrower Background", [("Annual income", "annual_inc"), ("Employment length", "emp_length"), ("Home ownership", "home_ownership"), ("Income verification", "verification_status"), ("State", "addr_state")]),
+    ("Credit And Liability Snapshot", [("DTI", "dti"), ("FICO low", "fico_range_low"), ("FICO high", "fico_range_high"), ("Revolving balance", "revol_bal"), ("Revolving utilization", "revol_util"), ("Open accounts", "open_acc"), ("Public records", "pub_rec"), ("Total accounts", "total_acc"), ("Grade", "grade"), ("Sub grade", "sub_grade")]),
+]
+_WORDED = ["term", "purpose", "application_type", "emp_length", "home_ownership", "verification_status", "addr_state", "grade", "sub_grade"]
+_SECTION_SQL = " || ".join(f"'[{title}]' || chr(10) || " + " || ".join(f"'{label}: ' || {_SAID(c) if c in _WORDED else _NUMBER(c, '.4f')} || chr(10)" for label, c in fields) + " || chr(10)" for title, fields in SECTIONS)
+
+
+@query(f"WITH d AS (SELECT *, coalesce({CLEAN}, '') AS cleaned FROM accepted_2007_to_2018q4) SELECT _shared_row_id, {_SECTION_SQL} || '[Borrower Description]' || chr(10) || CASE WHEN cleaned IN ('', 'nan') THEN 'missing' ELSE cleaned END || chr(10) AS profile FROM d")
 def profile_text(spark: SparkSession, sf: str) -> DataFrame:
-    v = lambda n, num=True: texts.value_text(F.col(n), num, "f")
-    sections = [
-        ("Loan Application Profile", [("Loan amount", v("loan_amnt")), ("Term", v("term", False)), ("Interest rate", v("int_rate")), ("Installment", v("installment")), ("Purpose", v("purpose", False)), ("Application type", v("application_type", False))]),
-        ("Borrower Background", [("Annual income", v("annual_inc")), ("Employment length", v("emp_length", False)), ("Home ownership", v("home_ownership", False)), ("Income verification", v("verification_status", False)), ("State", v("addr_state", False))]),
-        ("Credit And Liability Snapshot", [("DTI", v("dti")), ("FICO low", v("fico_range_low")), ("FICO high", v("fico_range_high")), ("Revolving balance", v("revol_bal")), ("Revolving utilization", v("revol_util")), ("Open accounts", v("open_acc")), ("Public records", v("pub_rec")), ("Total accounts", v("total_acc")), ("Grade", v("grade", False)), ("Sub grade", v("sub_grade", False))]),
-    ]
+    sections = [(title, [(label, texts.value_text(F.col(c), c not in _WORDED, "f")) for label, c in fields]) for title, fields in SECTIONS]
     return accepted(spark, sf).select(ID, texts.profile_text(sections, texts.clean_text(F.col("`desc`"))).alias("profile"))
 
 
-@query(None)
+@query("SELECT _shared_row_id, CASE WHEN int_rate IS NULL OR isnan(int_rate) THEN 'N/A' ELSE format('{:.1f}', int_rate) || '%' END AS rate, CASE WHEN dti IS NULL OR isnan(dti) THEN 'N/A' WHEN dti = floor(dti) THEN format('{:.0f}', dti) ELSE format('{:.2f}', dti) END AS dti FROM shared_split")
 def number_texts(spark: SparkSession, sf: str) -> DataFrame:
     df = split_rows(spark, sf)
     return df.select(ID, texts.percent_text(parsing.null_if_nan(F.col("int_rate"))).alias("rate"), texts.number_text(parsing.null_if_nan(F.col("dti"))).alias("dti"))
@@ -368,40 +387,54 @@ def extract_action(spark: SparkSession, sf: str) -> DataFrame:
     return r.select("sample_id", "pos", texts.action_and_status(F.col("raw"), F.col("obj")).alias("a")).select("sample_id", "pos", "a.action", "a.status")
 
 
-@query(f"WITH {_RESPONSES}, t AS (SELECT sample_id, pos, CASE (sample_id + pos) % 4 WHEN 0 THEN 'Risk: HIGH because of it' WHEN 1 THEN '{{\"risk\":\"low\"}}' WHEN 2 THEN 'high risk and low risk' ELSE 'none' END AS s FROM r) SELECT sample_id, pos, CASE WHEN lower(s) LIKE '%risk: high%' OR lower(s) LIKE '%high risk%' THEN 'high' WHEN s LIKE '%\"risk\":\"low\"%' THEN 'low' ELSE 'unknown' END AS level FROM t")
+@query("SELECT _shared_row_id, CASE WHEN int_rate >= 18.5 THEN 'high' WHEN int_rate < 11 THEN 'low' ELSE 'unknown' END AS level FROM shared_split WHERE int_rate IS NOT NULL AND NOT isnan(int_rate)")
 def risk_level(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.pmod(F.col("sample_id") + F.col("pos"), F.lit(4))
-    s = F.when(k == 0, "Risk: HIGH because of it").when(k == 1, '{"risk":"low"}').when(k == 2, "high risk and low risk").otherwise("none")
-    return _responses(spark, sf).select("sample_id", "pos", texts.risk_level(s).alias("level"))
+    """Levels read from a sentence about each row, with its description before it."""
+    rate = F.col("int_rate")
+    said = F.when(rate >= 18.5, F.when(F.col("target") == 1, "Risk: HIGH at this rate").otherwise("a high risk")).when(rate < 11, F.when(F.col("target") == 1, '{"risk": "low"}').otherwise("Low risk.")).otherwise("no word of it")
+    rows = split_rows(spark, sf).where("int_rate IS NOT NULL AND NOT isnan(int_rate)")
+    return rows.select(ID, texts.risk_level(F.concat_ws(" ", "desc_clean", said)).alias("level"))
+
+
+_TAUGHT = """h AS (SELECT _shared_row_id, target, trim(coalesce(desc_clean, '')) AS d, md5(coalesce(desc_clean, ''))[1] AS k FROM shared_split)"""
 
 
 def _teacher(spark: SparkSession, sf: str) -> DataFrame:
-    k = F.pmod(F.col(ID), F.lit(6))
+    """Responses with the row's description as their thinking; its md5 says how they go on."""
+    d = F.coalesce("desc_clean", F.lit(""))
+    k, think = F.substring(F.md5(d), 1, 1), F.concat(F.lit("<think> "), d, F.lit("</think>"))
     answer = (
-        F.when(k == 0, '{"decision":"reject","reasons":["x"]}')
-        .when(k == 1, "<think>why</think> no object")
-        .when(k == 2, '<think>why</think>{"decision":"hold"}')
-        .when(k == 3, '<think>why</think>{"decision":"reject","reasons":["a"]}')
-        .when(k == 4, '<think>why</think>{"decision":"approve","reasons":[]}')
-        .otherwise('<think> why </think> ```json\n{"decision":"approve","reasons":["b"],"n":{"m":1}}\n```')
+        F.when(k < "2", '{"decision":"reject","reasons":["x"]}')
+        .when(k == "2", F.concat(think, F.lit(" no object")))
+        .when(k == "3", F.concat(think, F.lit('{"decision":"hold"}')))
+        .when(k < "8", F.concat(think, F.lit('{"decision":"reject","reasons":["a"]}')))
+        .when(k < "a", F.concat(think, F.lit('{"decision":"approve","reasons":[]}')))
+        .otherwise(F.concat(think, F.lit('```json\n{"decision":"approve","reasons":["b"],"n":{"m":1}}\n```')))
     )
     return split_rows(spark, sf).select(ID, "target", answer.alias("raw")).withColumn("obj", texts.last_json(F.col("raw")))
 
 
-@query("""SELECT _shared_row_id, CASE _shared_row_id % 6 WHEN 0 THEN 'missing_think' WHEN 1 THEN 'missing_or_bad_json' WHEN 2 THEN 'bad_decision' WHEN 3 THEN CASE target WHEN 1 THEN 'ok' ELSE 'label_mismatch' END
-  WHEN 4 THEN CASE target WHEN 0 THEN 'missing_reasons' ELSE 'label_mismatch' END ELSE CASE target WHEN 0 THEN 'ok' ELSE 'label_mismatch' END END AS reason FROM shared_split""")
+@query(f"""WITH {_TAUGHT} SELECT _shared_row_id, CASE WHEN k < '2' OR d = '' THEN 'missing_think' WHEN k = '2' THEN 'missing_or_bad_json' WHEN k = '3' THEN 'bad_decision' WHEN (k < '8') <> (target = 1) THEN 'label_mismatch' WHEN k IN ('8', '9') THEN 'missing_reasons' ELSE 'ok' END AS reason,
+CASE WHEN k >= '2' THEN nullif(d, '') END AS think FROM h""")
 def validate_teacher(spark: SparkSession, sf: str) -> DataFrame:
-    return _teacher(spark, sf).select(ID, texts.teacher_check(F.col("raw"), F.col("obj"), F.col("target")).alias("c")).select(ID, "c.reason")
+    return _teacher(spark, sf).select(ID, texts.teacher_check(F.col("raw"), F.col("obj"), F.col("target")).alias("c"), texts.think_block(F.col("raw")).alias("think")).select(ID, "c.reason", "think")
 
 
-@query("SELECT _shared_row_id, CASE WHEN _shared_row_id % 6 IN (0, 3) THEN 1 ELSE 0 END AS label FROM shared_split")
+@query(f"WITH {_TAUGHT} SELECT _shared_row_id, CASE WHEN k < '2' OR k BETWEEN '4' AND '7' THEN 1 WHEN k IN ('2', '3') AND regexp_matches(lower(d), 'risk: high|high risk') THEN 1 ELSE 0 END AS label FROM h")
 def decision_label(spark: SparkSession, sf: str) -> DataFrame:
     return _teacher(spark, sf).select(ID, texts.decision_label(F.col("raw"), F.col("obj")).alias("label"))
 
 
-@query("SELECT _shared_row_id, CASE _shared_row_id % 6 WHEN 0 THEN 'reject' WHEN 1 THEN NULL WHEN 2 THEN 'hold' WHEN 3 THEN 'reject' ELSE 'approve' END AS decision FROM shared_split")
+@query(
+    r"""WITH t AS (SELECT doc_id, replace(regexp_replace(text, '```json\s*', '', 'gi'), '```', '') AS x FROM documents WHERE contains(text, '{') AND contains(text, '}')), e AS (SELECT doc_id, left(x, length(x) - position('}' IN reverse(x)) + 1) AS x FROM t),
+c AS (SELECT doc_id, x, length(x) - position('{' IN reverse(x)) + 1 AS a FROM e WHERE contains(x, '{')), d AS (SELECT *, length(left(x, a - 1)) - position('{' IN reverse(left(x, a - 1))) + 1 AS b FROM c),
+o AS (SELECT doc_id, CASE WHEN json_valid(substr(x, a)) THEN substr(x, a) WHEN contains(left(x, a - 1), '{') AND json_valid(substr(x, b)) THEN substr(x, b) END AS obj FROM d)
+SELECT doc_id, json_extract_string(obj, '$.action') AS action, json_extract_string(obj, '$.status') AS status FROM o WHERE obj IS NOT NULL"""
+)
 def last_json(spark: SparkSession, sf: str) -> DataFrame:
-    return _teacher(spark, sf).select(ID, F.get_json_object("obj", "$.decision").alias("decision"))
+    """The last JSON object in each document that has one."""
+    found = table(spark, sf, "documents").select("doc_id", texts.last_json(F.col("text")).alias("obj")).where("obj IS NOT NULL")
+    return found.select("doc_id", F.get_json_object("obj", "$.action").alias("action"), F.get_json_object("obj", "$.status").alias("status"))
 
 
 def _sft(spark: SparkSession, sf: str) -> DataFrame:
@@ -445,33 +478,31 @@ def sql_functions(spark: SparkSession, sf: str) -> DataFrame:
     return spark.sql(f"SELECT s.{ID}, emp_length_years(a.emp_length) AS emp_years, issue_year(a.issue_d) AS year FROM scoreloom_split s JOIN scoreloom_accepted a USING ({ID})")
 
 
-@query("""WITH d AS (SELECT _shared_row_id, (_shared_row_id % 41 - 20) / 4.0 AS delta FROM shared_split) SELECT _shared_row_id, round(delta, 6) AS delta, round(1 / (1 + exp(-delta)), 6) AS prob, CASE WHEN delta >= 0 THEN 'reject' ELSE 'approve' END AS action FROM d""")
+@query("SELECT _shared_row_id, round((dti - int_rate) / 8, 6) AS delta, round(1 / (1 + exp(-(dti - int_rate) / 8)), 6) AS prob, CASE WHEN dti - int_rate >= 0 THEN 'reject' ELSE 'approve' END AS action FROM shared_split WHERE abs(dti) < 1000 AND abs(int_rate) < 1000")
 def logprob_decision(spark: SparkSession, sf: str) -> DataFrame:
-    d = ((F.col(ID) % 41 - 20) / 4.0).alias("delta")
-    rows = split_rows(spark, sf).select(ID, d, F.lit(-5.0).alias("logprob_approve")).withColumn("logprob_reject", F.col("delta") + F.col("logprob_approve"))
+    rows = split_rows(spark, sf).where("abs(dti) < 1000 AND abs(int_rate) < 1000").select(ID, (-F.col("int_rate") / 8).alias("logprob_reject"), (-F.col("dti") / 8).alias("logprob_approve"))
     return scorers.decide(rows).select(ID, F.round("logprob_delta", 6).alias("delta"), F.round("prob", 6).alias("prob"), F.col("pred_action").alias("action"))
 
 
 @query(None)
-def scorer_two_stage(spark: SparkSession, sf: str) -> DataFrame:
+def scorer_decisions(spark: SparkSession, sf: str) -> DataFrame:
+    """Log-probabilities of both actions from a batch scorer, and the decision."""
     rows = _feature_text(spark, sf).where("split = 'test'").select(ID, "input")
-    reasons = scorers.apply(rows, scorers.StubScorer(), "input", ID)
-    return scorers.decide(reasons).select(ID, "pred_action", F.round("prob", 6).alias("prob"))
+    found = scorers.apply(rows, scorers.StubScorer(), "input", ID)
+    return scorers.decide(found).select(ID, "pred_action", F.round("prob", 6).alias("prob"))
 
 
 # --- features and models -------------------------------------------------------------------------
 
 
-@query(r"""WITH w AS (SELECT _shared_row_id, regexp_extract_all(lower(desc_clean), '\b\w\w+\b') AS w FROM shared_split), t AS (SELECT _shared_row_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w WHERE len(w) > 0),
-tf AS (SELECT _shared_row_id, term, count(*) AS tf FROM t GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1 HAVING count(*) >= 50), n AS (SELECT count(*) AS n FROM shared_split),
-x AS (SELECT tf.*, df.df, ln((1 + n) / (1 + df.df)) + 1 AS idf FROM tf JOIN df USING (term), n)
-SELECT term, df, round(any_value(idf), 6) AS idf, sum(tf)::BIGINT AS tf FROM x WHERE NOT regexp_matches(term, '[^ -~]') GROUP BY 1, 2""")
-def tfidf_weights(spark: SparkSession, sf: str) -> DataFrame:
-    w = features.term_weights(split_rows(spark, sf), ID, "desc_clean", 50)
-    return w.where(~F.col("term").rlike("[^ -~]")).groupBy("term", "df").agg(F.round(F.first("idf"), 6).alias("idf"), F.sum("tf").alias("tf"))
+# Words of two or more letters, digits, marks and joiners of any script, as Java's Unicode word class has them.
+_WORDS = r"[\p{L}\p{Nl}\p{M}\p{Nd}\p{Pc}\x{200C}\x{200D}]{2,}"
 
 
-@query(None)
+@query(f"""WITH w AS (SELECT _shared_row_id, regexp_extract_all(lower(desc_clean), '{_WORDS}') AS w FROM shared_split), t AS (SELECT _shared_row_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM w WHERE len(w) > 0),
+tf AS (SELECT _shared_row_id, term, count(*) AS tf FROM t GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1 HAVING count(*) >= 5), n AS (SELECT count(*) AS n FROM shared_split),
+x AS (SELECT tf.*, df.df, ln((1 + n) / (1 + df.df)) + 1 AS idf FROM tf JOIN df USING (term), n)
+SELECT term, df, round(any_value(idf), 6) AS idf, sum(tf)::BIGINT AS tf FROM x GROUP BY 1, 2""")
 def tfidf_terms(spark: SparkSession, sf: str) -> DataFrame:
     """All terms in at least 5 texts, whatever their letters."""
     w = features.term_weights(split_rows(spark, sf), ID, "desc_clean", 5)

@@ -126,5 +126,17 @@ UNION ALL SELECT 'revol_util', _shared_row_id FROM both_ WHERE NOT util_ok AND u
 UNION ALL SELECT 'emp_length', _shared_row_id FROM both_ WHERE emp_gap AND e
 """
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_profile, p2_columns, p3_found, p3_filled)}
-ORACLES = {"p2_found": P2_FOUND, "p2_columns": P2_COLUMNS, "p3_found": P3_FOUND}
+P3_MARKS = P3_FOUND[: P3_FOUND.index("SELECT 'dti' AS column_name")] + """SELECT b._shared_row_id, coalesce(NOT b.dti_ok AND g.d, false) AS dti_filled, coalesce(NOT b.util_ok AND g.u, false) AS revol_util_filled, coalesce(b.emp_gap AND g.e, false) AS emp_length_filled,
+  a.emp_length AS kept FROM base b LEFT JOIN groups g ON g.load_no = b.load_no AND g.g = b.g JOIN accepted_2007_to_2018q4 a ON a._shared_row_id = b._shared_row_id WHERE NOT coalesce(b.emp_gap AND g.e, false)
+UNION ALL SELECT b._shared_row_id, coalesce(NOT b.dti_ok AND g.d, false), coalesce(NOT b.util_ok AND g.u, false), true, NULL FROM base b JOIN groups g ON g.load_no = b.load_no AND g.g = b.g WHERE b.emp_gap AND g.e"""
+
+
+def p3_marks(spark: SparkSession, sf: str) -> DataFrame:
+    """Every row's marks, and what stands in emp_length where it was not filled."""
+    filled = p3_filled(spark, sf)
+    marks = [f"{f}_filled" for f in ("dti", "revol_util", "emp_length")]
+    return filled.select("_shared_row_id", *marks, F.when(~F.col("emp_length_filled"), F.col("emp_length")).alias("kept"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_profile, p2_columns, p3_found, p3_filled, p3_marks)}
+ORACLES = {"p2_found": P2_FOUND, "p2_columns": P2_COLUMNS, "p3_found": P3_FOUND, "p3_marks": P3_MARKS}
