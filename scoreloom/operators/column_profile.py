@@ -26,6 +26,7 @@ from scoreloom.session import checkpointed
 # Ways of writing that there is no answer, lower case and trimmed (fixed values).
 NO_ANSWER = ["", "-", "--", "---", ".", "?", "n/a", "n.a.", "na", "#n/a", "nan", "none", "null", "nil", "not given", "not provided", "not available", "not stated", "not applicable", "no answer", "unknown", "undefined", "missing", "<na>", "(blank)", "blank", "prefer not to say", "unspecified", "tbd"]
 SCALE, LIMB = 10**6, 10**18
+LONG = 64  # characters of a value that are carried
 TOLERANCE_ABSENT, TOLERANCE_INVALID, TOLERANCE_SHIFT = 0.05, 0.02, 0.10
 
 
@@ -39,11 +40,16 @@ def is_absent(c: Column, kind: T.DataType, answers: list[str] | None = None) ->
     return c.isNull()
 
 
-def value_table(df: DataFrame, group: str, columns: list[str], answers: Mapping[str, list[str]] | None = None) -> DataFrame:
-    """(group, column_name, value, number, absent, rows): what each column of each group holds.
+def brief(text: Column) -> Column:
+    """A text as it is, or the start of a long one with its digest, which is as good for telling texts apart."""
+    return F.when(F.length(text) > LONG, F.concat(F.substring(text, 1, LONG), F.lit("…"), F.md5(text))).otherwise(text)
 
-    value is the text of a value, number its number (null for texts).  Rows with a null group form
-    a group of their own.
+
+def value_table(df: DataFrame, group: str, columns: list[str], answers: Mapping[str, list[str]] | None = None, patterns: Mapping[str, str] | None = None) -> DataFrame:
+    """(group, column_name, value, number, absent, bad, rows): what each column of each group holds.
+
+    value is the text of a value (``brief``), number its number (null for texts); bad: the whole text
+    does not match the column's pattern.  Rows with a null group form a group of their own.
     """
     cells = []
     for name in columns:
@@ -51,11 +57,13 @@ def value_table(df: DataFrame, group: str, columns: list[str], answers: Mapping[
         c = F.col(f"`{name}`")
         numeric = isinstance(kind, T.NumericType)
         absent = is_absent(c, kind, (answers or {}).get(name))
-        cells.append(F.struct(F.lit(name).alias("column_name"), F.when(~absent, c.cast("string")).alias("value"), F.when(~absent, c.cast("double")).alias("number") if numeric else F.lit(None).cast("double").alias("number"), absent.alias("absent")))
+        text, rule = c.cast("string"), (patterns or {}).get(name)
+        bad = ~absent & ~F.regexp_like(text, F.lit(f"^(?:{rule})$")) if rule else F.lit(False)
+        cells.append(F.struct(F.lit(name).alias("column_name"), F.when(~absent, brief(text)).alias("value"), F.when(~absent, c.cast("double")).alias("number") if numeric else F.lit(None).cast("double").alias("number"), absent.alias("absent"), F.coalesce(bad, F.lit(False)).alias("bad")))
     if not cells:
         raise ValueError("no columns to profile")
     long = df.select(F.col(f"`{group}`").alias("group"), F.explode(F.array(*cells)).alias("cell")).select("group", "cell.*")
-    return long.groupBy("group", "column_name", "value", "number", "absent").agg(F.count(F.lit(1)).alias("rows"))
+    return long.groupBy("group", "column_name", "value", "number", "absent", "bad").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def power_sums(values: DataFrame) -> DataFrame:
@@ -116,8 +124,9 @@ def _checks(watched: list[Row], name: Column, number: Column, value: Column) ->
     valid, points = F.lit(None).cast("boolean"), {}
     for r in watched:
         if r.value_type == "string":
-            valid = F.when(name == r.column_name, value.isin(list(r.valid_values or []))).otherwise(valid)
-            points[r.column_name] = ([value == v for v in r.valid_values or []], [float((r.value_shares or {}).get(v) or 0.0) for v in r.valid_values or []], True)
+            known = [brief(F.lit(v)) for v in r.valid_values or []]
+            valid = F.when(name == r.column_name, value.isin(known) if known else F.lit(False)).otherwise(valid)
+            points[r.column_name] = ([value == v for v in known], [float((r.value_shares or {}).get(v) or 0.0) for v in r.valid_values or []], True)
         else:
             valid = F.when(name == r.column_name, number.between(r.valid_min, r.valid_max)).otherwise(valid)
             points[r.column_name] = ([number <= c for c in r.cut_points or []], list(r.cut_shares or []), False)
@@ -132,20 +141,18 @@ def profile(df: DataFrame, group: str, columns: list[str] | None = None, pattern
     of a column.  watched: baseline rows (see ``departures``); their columns get the counts of valid
     values and ``shift``, the greatest difference of a watched share (half the sum of differences for
     texts).  An empty table gives an empty result; a column without a present value has null ranges
-    and moments.  Infinite numbers are in the ranges and counted, and in no moment.
+    and moments.  Of texts of more than LONG characters, min_text and max_text give the start and a
+    digest.  Infinite numbers are in the ranges and counted, and in no moment.
     """
     atomic = (T.NumericType, T.StringType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
     columns = columns or [f.name for f in df.schema if f.name != group and isinstance(f.dataType, atomic)]
     # Read by the counts and by the power sums, and far smaller than the table: kept in the shared folder.
-    values = checkpointed(value_table(df, group, columns, answers))
-    rule = F.lit(None).cast("string")
-    for name, pattern in (patterns or {}).items():
-        rule = F.when(F.col("column_name") == name, F.lit(f"^(?:{pattern})$")).otherwise(rule)
+    values = checkpointed(value_table(df, group, columns, answers, patterns))
     n, here = F.col("rows"), ~F.col("absent")
     total = lambda c: F.sum(F.when(c, n).otherwise(0))
     valid, points = _checks(watched or [], F.col("column_name"), F.col("number"), F.col("value"))
     finite = F.abs("number") < float("inf")
-    rows = values.withColumns({"bad": F.when(rule.isNotNull() & here, ~F.regexp_like("value", rule)).otherwise(False), "fit": F.coalesce(valid & here, F.lit(False))})
+    rows = values.withColumn("fit", F.coalesce(valid & here, F.lit(False)))
     stats = rows.groupBy("group", "column_name").agg(
         F.sum(n).alias("n_rows"),
         total(F.col("absent")).alias("n_absent"),

@@ -92,7 +92,9 @@ def term_weights(df: DataFrame, key: str, text: str, least_documents: int = 5) -
     """
     words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"(?U)\b\w\w+\b"), 0)
     pairs = F.when(F.size(words) > 1, F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
-    tf = df.select(F.col(key), F.explode(F.concat(words, pairs)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    # Texts are placed by key once; counting in a text and its norm then need no shuffle of terms.
+    placed = df.select(F.col(key), F.col(text)).repartition(F.col(key))
+    tf = placed.select(F.col(key), F.explode(F.concat(words, pairs)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
     n = df.agg(F.count(F.lit(1)).alias("n"))
     known = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= least_documents).crossJoin(F.broadcast(n)).withColumn("idf", F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).drop("n")
     # Which side is sent whole is left to adaptive execution, by the measured size of the vocabulary.

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scoreloom.operators.alignment import row_ids
+from scoreloom.session import checkpointed
 
 STEPS = 1024  # buckets of an octave
 
@@ -146,17 +147,16 @@ def in_unit_range(df: DataFrame, score: str, out: str) -> DataFrame:
 
 def reject_thresholds(table: DataFrame, rates: list[float]) -> dict[float, float]:
     """Threshold of each target reject rate: quantile 1 - rate; none for 0, all for 1; 0.5 if there are no scores."""
-    inner = [r for r in rates if 0 < r < 1]
-    values = {round(r.prob, 12): r.value for r in quantiles(table, [1 - r for r in inner]).collect()} if inner else {}
-    ends = table.agg(F.min("score").alias("a"), F.max("score").alias("b")).first()
+    wanted = sorted({0.0, 1.0, *(1 - r for r in rates if 0 < r < 1)})
+    values = {round(r.prob, 12): r.value for r in quantiles(table, wanted).collect()}
     out = {}
     for r in rates:
-        if ends.a is None:
+        if not values:
             out[r] = 0.5
         elif r <= 0:
-            out[r] = ends.b + 1e-12
+            out[r] = values[1.0] + 1e-12
         elif r >= 1:
-            out[r] = ends.a - 1e-12
+            out[r] = values[0.0] - 1e-12
         else:
             out[r] = values[round(1 - r, 12)]
     return out
@@ -166,7 +166,8 @@ def gains_curve(df: DataFrame, score: str, target: str, split: str, rates: list[
     """Validation thresholds of reject rates, and what they do on validation and test."""
     rates = rates or [i / 100 for i in range(5, 51, 5)]
     spark = df.sparkSession
-    table = score_table(df.where(F.col(split).isin("validation", "test")), score, target, [split])
+    # Read for the thresholds and for both sides of the curve: kept in the shared folder.
+    table = checkpointed(score_table(df.where(F.col(split).isin("validation", "test")), score, target, [split]))
     cuts = reject_thresholds(table.where(F.col(split) == "validation"), rates)
     wide = at_thresholds(table, list(cuts.values()), [split]).select(split, "threshold", "tp", "fp", "tn", "fn").withColumns(business_columns())
     plan = spark.createDataFrame([(float(r), float(t)) for r, t in cuts.items()], "target_reject_rate double, threshold double")

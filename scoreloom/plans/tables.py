@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scoreloom.functions.parsing import issue_year, null_if_nan
 from scoreloom.operators.cleaning import finished
 
+# Inputs of models by type (fixed values).
 NUMERIC = ["loan_amnt", "int_rate", "installment", "annual_inc", "dti", "open_acc", "pub_rec", "revol_bal", "revol_util", "total_acc", "emp_length_years", "term_months", "fico_mean"]
 CATEGORICAL = ["grade", "home_ownership", "verification_status", "purpose", "addr_state"]
 

@@ -177,6 +177,21 @@ def decisions(spark: SparkSession, sf: str) -> DataFrame:
     return policies.with_decisions(_part(spark, sf, "test"), "score", ID, 0.45, 0.1).select(ID, "y_pred_binary", "is_manual_review", "y_pred_with_manual")
 
 
+@query(None)
+def variant_leaderboard(spark: SparkSession, sf: str) -> DataFrame:
+    """Variants fitted on the early years, tuned on validation rows and tested on test rows of the later ones."""
+    from scoreloom import workflows
+    from scoreloom.session import checkpointed
+
+    rows = split_rows(spark, sf).where("issue_year IS NOT NULL")
+    early, policy, found = F.col("issue_year") <= 2013, POLICIES["fixed"], []
+    train, rest = rows.where(early & (F.col("split") == "train_fit")), rows.where(~early & (F.col("split") != "train_fit"))
+    for name, fit in workflows.variants(NUMERIC, CATEGORICAL, "desc_clean", ["logistic_tabular", "logistic_text_fusion", "risk_profiles"]).items():
+        add, _ = fit(train)
+        found.append(policies.evaluate(checkpointed(add(rest).select(ID, "split", "target", "score")), "score", "target", ID, "split", policy, name))
+    return _frame(spark, policies.summary(found, policy), _COLUMNS)
+
+
 # --- cross-validation -------------------------------------------------------------------------------------
 
 

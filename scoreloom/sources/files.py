@@ -6,6 +6,7 @@ import hashlib
 import json
 import math
 import os
+import shutil
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from pyspark.sql import types as T
 from scoreloom.functions.parsing import csv_missing_to_null, number
 from scoreloom.operators import splits
 
+# Columns of the raw table by type (fixed values).
 RAW_NUMBERS = ["loan_amnt", "int_rate", "installment", "annual_inc", "dti", "fico_range_low", "fico_range_high", "revol_bal", "revol_util", "open_acc", "pub_rec", "total_acc"]
 RAW_TEXTS = ["term", "grade", "sub_grade", "emp_length", "home_ownership", "verification_status", "purpose", "addr_state", "application_type"]
 RAW_COLUMNS = sorted([*RAW_NUMBERS, *RAW_TEXTS, "desc", "loan_status", "issue_d"])
@@ -99,14 +101,29 @@ def split_directory(df: DataFrame, path: str, key: str, target: str, **settings)
     return spark.read.parquet(path)
 
 
-def write_training_job(folder: str, name: str, dataset: str, model: str, **settings) -> list[str]:
-    """A fine-tuning job: its settings as YAML and the entry of the data set; returns the files."""
-    job = {"stage": "sft", "model_name_or_path": model, "dataset": name, "finetuning_type": "lora", "lora_rank": 8, "quantization_bit": 4, "lr_scheduler_type": "cosine", "warmup_ratio": 0.1} | settings
-    lines = [f"{k}: {str(v).lower() if isinstance(v, bool) else v}" for k, v in job.items()]
-    Path(folder).mkdir(parents=True, exist_ok=True)
-    yaml, info = Path(folder, f"{name}.yaml"), Path(folder, "dataset_info.json")
-    yaml.write_text("\n".join(lines) + "\n", encoding="utf-8")
+# Settings of a fine-tuning job (fixed values).
+JOB = {"stage": "sft", "finetuning_type": "lora", "lora_rank": 8, "quantization_bit": 4, "lr_scheduler_type": "cosine", "warmup_ratio": 0.1}
+
+
+def write_training_job(folder: str, name: str, dataset: str, model: str, command: str = "python -m trainer", **settings) -> list[str]:
+    """A fine-tuning job: a copy of the data set and its entry, settings as YAML, a launch script; returns the files.
+
+    dataset: a JSON lines file, or the folder that ``write_chat`` wrote, whose parts are joined.
+    """
+    at = Path(folder)
+    at.mkdir(parents=True, exist_ok=True)
+    source, copy = Path(dataset), at / f"{name}.jsonl"
+    if source.exists() and source.resolve() != copy.resolve():
+        with copy.open("wb") as out:
+            for part in sorted(source.glob("part-*")) if source.is_dir() else [source]:
+                with part.open("rb") as piece:
+                    shutil.copyfileobj(piece, out)
+    job = {"model_name_or_path": model, "dataset": name, "dataset_dir": str(at)} | JOB | settings
+    yaml, info, script = at / f"{name}.yaml", at / "dataset_info.json", at / f"{name}.sh"
+    yaml.write_text("".join(f"{k}: {str(v).lower() if isinstance(v, bool) else v}\n" for k, v in job.items()), encoding="utf-8")
     known = json.loads(info.read_text(encoding="utf-8")) if info.exists() else {}
-    known[name] = {"file_name": dataset, "formatting": "sharegpt", "columns": {"messages": "conversations", "system": "system"}}
+    known[name] = {"file_name": copy.name if copy.exists() else dataset, "formatting": "sharegpt", "columns": {"messages": "conversations", "system": "system"}}
     info.write_text(json.dumps(known, indent=2), encoding="utf-8")
-    return [str(yaml), str(info)]
+    script.write_text(f"#!/bin/sh\nset -e\nexec {command} {yaml.name}\n", encoding="utf-8")
+    script.chmod(0o755)
+    return [str(yaml), str(info), str(script), *([str(copy)] if copy.exists() else [])]

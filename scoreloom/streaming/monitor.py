@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from scoreloom.functions.parsing import null_if_nan
 from scoreloom.operators.reports import gap_state
+from scoreloom.session import shared_folder
 
 
 def windowed_gaps(stream: DataFrame, ts: str, score: str, threshold: float, rate: float, width: str = "1 day", late: str = "1 day") -> DataFrame:
@@ -25,10 +26,12 @@ def windowed_gaps(stream: DataFrame, ts: str, score: str, threshold: float, rate
 def rate_gaps_by_stream(spark: SparkSession, path: str, threshold: float = 0.45, rate: float = 0.35) -> DataFrame:
     """Gaps by issue year, computed by a stream over the files of a path until they are all read.
 
-    The result is kept by the in-memory sink: one row for each year.
+    Each batch writes the whole result, one row for each year, as a table in the shared folder; the
+    state is kept beside it, so a restarted stream goes on where it stopped.
     """
     import os
 
+    out = f"{shared_folder(spark).rstrip('/')}/gaps-{uuid.uuid4().hex}"
     schema = spark.read.parquet(path).schema
     source = path if os.path.isdir(path) else os.path.dirname(path)
     reader = spark.readStream.schema(schema)
@@ -37,8 +40,8 @@ def rate_gaps_by_stream(spark: SparkSession, path: str, threshold: float = 0.45,
     v = lambda c: F.coalesce(null_if_nan(F.col(c)), F.lit(0.0))
     score = F.round(F.least(F.greatest((2 * v("int_rate") + 0.5 * v("dti") + 0.1 * v("revol_util")) / 100.0, F.lit(0.0)), F.lit(1.0)), 6)
     counts = reader.parquet(source).withColumn("score", score).groupBy("issue_year").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("score") >= threshold).alias("k"))
-    name = "gaps_" + uuid.uuid4().hex
-    run = counts.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    run.awaitTermination()
+    write = lambda batch, number: batch.coalesce(1).write.mode("overwrite").parquet(f"{out}/result")
+    counts.writeStream.foreachBatch(write).outputMode("complete").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
     actual = F.col("k") / F.col("n")
-    return spark.table(name).select("issue_year", "n", F.round(actual, 9).alias("actual_reject_rate"), F.round(actual - rate, 9).alias("gap"), gap_state(actual - rate).alias("state"))
+    found = spark.read.schema(counts.schema).parquet(f"{out}/result")
+    return found.select("issue_year", "n", F.round(actual, 9).alias("actual_reject_rate"), F.round(actual - rate, 9).alias("gap"), gap_state(actual - rate).alias("state"))
