@@ -47,6 +47,11 @@ def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(cells.alias("x")).groupBy("x.column_name", "x.value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(column_name, n_distinct, n_with_null): exact counts from value counts, so that no row is expanded by column sets."""
+    return value_counts(df, columns).groupBy("column_name").agg(F.count("value").alias("n_distinct"), F.count(F.lit(1)).alias("n_with_null"))
+
+
 def categories(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column_name, n_unique, top_value, top_ratio, missing_ratio); of equal counts the smaller value."""
     counts = value_counts(df, columns)

@@ -207,6 +207,11 @@ def value_counts(spark: SparkSession, sf: str) -> DataFrame:
     return summaries.value_counts(accepted(spark, sf), ["grade", "term", "home_ownership", "purpose"])
 
 
+@query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, count(DISTINCT {c}) AS n_distinct, count(DISTINCT {c}) + max(({c} IS NULL)::INT) AS n_with_null FROM accepted_2007_to_2018q4" for c in ["grade", "emp_length", "term", "addr_state", "loan_id", "partner_ref"]))
+def distinct_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return summaries.distinct_counts(accepted(spark, sf), ["grade", "emp_length", "term", "addr_state", "loan_id", "partner_ref"])
+
+
 def _describe_sql(c: str) -> str:
     q = ", ".join(f"quantile_cont(v, {p}) AS p{round(p * 100)}" for p in summaries.PROBS)
     return f"SELECT '{c}' AS column_name, count(v) AS n, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS std, min(v) AS min, {q}, max(v) AS max FROM (SELECT {clean_sql(c)} AS v FROM shared_split) HAVING count(v) > 0"

@@ -484,7 +484,8 @@ def logprob_decision(spark: SparkSession, sf: str) -> DataFrame:
     return scorers.decide(rows).select(ID, F.round("logprob_delta", 6).alias("delta"), F.round("prob", 6).alias("prob"), F.col("pred_action").alias("action"))
 
 
-@query(None)
+@query(f"""WITH u AS (SELECT _shared_row_id, (('0x' || md5({_TEXT})[1:12])::BIGINT + 0.5) / 281474976710656.0 AS u FROM shared_split WHERE split = 'test')
+SELECT _shared_row_id, CASE WHEN u >= 0.5 THEN 'reject' ELSE 'approve' END AS pred_action, round(u, 6) AS prob FROM u""")
 def scorer_decisions(spark: SparkSession, sf: str) -> DataFrame:
     """Log-probabilities of both actions from a batch scorer, and the decision."""
     rows = _feature_text(spark, sf).where("split = 'test'").select(ID, "input")

@@ -278,7 +278,8 @@ _RESERVED = ", ".join(f"'{c}'" for c in [*cleaning.RESERVED, *cleaning.LEAKAGE])
 @query(f"SELECT column_name, CASE WHEN column_type IN ('DOUBLE', 'BIGINT', 'INTEGER') THEN 'numeric' ELSE 'categorical' END AS role FROM (DESCRIBE SELECT * FROM accepted_2007_to_2018q4) WHERE column_name NOT IN ({_RESERVED}) AND column_type IN ('DOUBLE', 'BIGINT', 'INTEGER', 'VARCHAR')")
 def model_inputs(spark: SparkSession, sf: str) -> DataFrame:
     """Roles of the raw table's columns, after those that give the outcome away are dropped."""
-    df = cleaning.without_leakage(cleaning.with_year(accepted(spark, sf)))
+    raw = accepted(spark, sf)
+    df = cleaning.without_leakage(cleaning.with_year(cleaning.ordered_unique(raw, [*raw.columns, "loan_amnt", "no_such_column"])))
     cleaning.require(df, ["loan_amnt", cleaning.first_present(df, ["desc_clean", "desc"])])
     return spark.createDataFrame([(c, role) for role, names in cleaning.roles(df).items() for c in names], "column_name string, role string")
 

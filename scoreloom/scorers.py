@@ -30,7 +30,7 @@ class Scorer(Protocol):
 
 
 class StubScorer:
-    """Deterministic log-probabilities from a hash of the prompt."""
+    """Deterministic log-probabilities from the md5 of the prompt."""
 
     def load(self) -> None:
         pass
@@ -38,7 +38,7 @@ class StubScorer:
     def score(self, prompts: list[str]) -> list[tuple[float, float]]:
         out = []
         for p in prompts:
-            u = (int.from_bytes(hashlib.blake2b(p.encode("utf-8", "replace"), digest_size=6).digest(), "big") + 0.5) / 2**48
+            u = (int(hashlib.md5(p.encode("utf-8", "replace")).hexdigest()[:12], 16) + 0.5) / 2**48
             out.append((math.log(u), math.log(1 - u)))
         return out
 
