@@ -74,6 +74,27 @@ def p4_report(spark: SparkSession, sf: str) -> DataFrame:
     return quota_sample.judged(report, quota, quota_sample.draw(eligible, quota, "load_no", dims, "loan_id"), "load_no", dims)
 
 
+P4_ASKED = P4_FOUND.replace("SELECT t.load_no, t.dimension, t.category FROM", "SELECT t.load_no, t.dimension, t.category, coalesce(h.n, 0) AS eligible, round(greatest(t.min_rows, t.target_share * t.sample_rows), 6) AS asked, coalesce(h.n, 0) >= greatest(t.min_rows, t.target_share * t.sample_rows) - 1e-9 AS attainable FROM").split("WHERE coalesce(h.n, 0) <")[0]
+
+
+def p4_asked(spark: SparkSession, sf: str) -> DataFrame:
+    """What the report says that does not depend on the draw."""
+    return p4_report(spark, sf).select("load_no", "dimension", "category", "eligible", F.round("asked", 6).alias("asked"), "attainable")
+
+
+P4_SIZES = P4_FOUND.split("SELECT t.load_no")[0] + """, wish AS (SELECT load_no, min(sample_rows) AS n FROM sample_targets GROUP BY 1), totals AS (SELECT t.load_no, t.dimension, sum(least(coalesce(h.n, 0), greatest(t.min_rows, t.target_share * w.n))) AS most
+  FROM sample_targets t JOIN wish w USING (load_no) LEFT JOIN have h ON h.load_no = t.load_no AND h.dimension = t.dimension AND h.category = t.category GROUP BY 1, 2)
+SELECT load_no, true AS within, true AS distinct_loans FROM (SELECT load_no, min(most) AS most FROM totals GROUP BY 1) WHERE most >= 1"""
+
+
+def p4_sizes(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether each load's sample is no larger than either dimension's targets and supply allow, and has no loan twice."""
+    sample, report = p4_sample(spark, sf), p4_report(spark, sf)
+    most = report.groupBy("load_no", "dimension").agg(F.sum(F.least("eligible", F.ceil("asked"))).alias("most")).groupBy("load_no").agg(F.min("most").alias("most"))
+    drawn = sample.groupBy("load_no").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("loan_id").alias("d"))
+    return drawn.join(most, "load_no").select("load_no", (F.col("n") <= F.col("most")).alias("within"), (F.col("n") == F.col("d")).alias("distinct_loans"))
+
+
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return overlap.cross_split_overlaps(_table(spark, sf, "shared_split"), "_shared_row_id", "desc_clean", "split", "train_fit")
 
@@ -129,6 +150,6 @@ def p8_kept(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_masked, p4_found, p4_sample, p4_report, p5_found, p5_by_source, p6_ids, p6_offsets, p7_found, p7_cleaned, p8_found, p8_kept)
+    f.__name__: f for f in (p1_found, p1_masked, p4_found, p4_sample, p4_report, p4_asked, p4_sizes, p5_found, p5_by_source, p6_ids, p6_offsets, p7_found, p7_cleaned, p8_found, p8_kept)
 }
-ORACLES = {"p4_found": P4_FOUND}
+ORACLES = {"p4_found": P4_FOUND, "p4_asked": P4_ASKED, "p4_sizes": P4_SIZES}
