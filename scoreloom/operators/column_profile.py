@@ -14,8 +14,8 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator, Mapping
-from math import isfinite
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
@@ -25,6 +25,7 @@ from scoreloom.session import checkpointed
 
 # Ways of writing that there is no answer, lower case and trimmed (fixed values).
 NO_ANSWER = ["", "-", "--", "---", ".", "?", "n/a", "n.a.", "na", "#n/a", "nan", "none", "null", "nil", "not given", "not provided", "not available", "not stated", "not applicable", "no answer", "unknown", "undefined", "missing", "<na>", "(blank)", "blank", "prefer not to say", "unspecified", "tbd"]
+BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\u0085\u00a0\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u200b\u2028\u2029\u202f\u3000\ufeff"
 SCALE, LIMB = 10**6, 10**18
 LONG = 64  # characters of a value that are carried
 TOLERANCE_ABSENT, TOLERANCE_INVALID, TOLERANCE_SHIFT = 0.05, 0.02, 0.10
@@ -35,7 +36,7 @@ def is_absent(c: Column, kind: T.DataType, answers: list[str] | None = None) ->
     if isinstance(kind, (T.DoubleType, T.FloatType)):
         return c.isNull() | F.isnan(c)
     if isinstance(kind, T.StringType):
-        word = F.lower(F.regexp_replace(c, r"^[\s\u00a0\u200b\ufeff]+|[\s\u00a0\u200b\ufeff]+$", ""))
+        word = F.lower(F.btrim(c, F.lit(BLANKS)))
         return c.isNull() | word.isin([w for w in NO_ANSWER if w not in (answers or [])])
     return c.isNull()
 
@@ -77,13 +78,17 @@ def power_sums(values: DataFrame) -> DataFrame:
     def add(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict[tuple, list[int]] = defaultdict(lambda: [0] * 5)
         for part in parts:
-            for group, name, number, rows in zip(part["group"], part["column_name"], part["number"], part["rows"]):
-                if isfinite(number):
-                    x = round(number * SCALE) if abs(number) < 1e15 else int(number) * SCALE
-                    mine, power = sums[None if group != group else group, name], rows
-                    for p in range(5):
-                        mine[p] += power
-                        power *= x
+            for (group, name), own in part.groupby(["group", "column_name"], dropna=False, sort=False):
+                numbers = own["number"].to_numpy()
+                finite = np.isfinite(numbers)
+                numbers, power = numbers[finite], own["rows"].to_numpy()[finite].astype(object)
+                small = np.abs(numbers) < 1e9
+                x = np.rint(np.where(small, numbers, 0.0) * SCALE).astype(np.int64).astype(object)
+                x[~small] = [round(v * SCALE) if abs(v) < 1e15 else int(v) * SCALE for v in numbers[~small].tolist()]
+                mine = sums[None if group != group else group, name]
+                for p in range(5):
+                    mine[p] += int(power.sum())
+                    power = power * x
         out = []
         for (group, name), mine in sums.items():
             for p, total in enumerate(mine):
