@@ -590,3 +590,14 @@ def stream_rr_gap(spark: SparkSession, sf: str) -> DataFrame:
     from scoreloom.streaming import monitor
 
     return monitor.rate_gaps_by_stream(spark, f"{sf}/shared_split.parquet")
+
+
+@query("""WITH w AS (SELECT date_trunc('hour', ts) AS w, count(*) AS n, count(*) FILTER (value >= 50) / count(*) AS r FROM events WHERE ts IS NOT NULL GROUP BY 1)
+SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, n, round(r, 9) AS actual_reject_rate, round(r - 0.35, 9) AS gap, CASE WHEN round(abs(r - 0.35), 9) <= 0.01 THEN 'stable' WHEN round(abs(r - 0.35), 9) <= 0.03 THEN 'warn' ELSE 'recalibrate' END AS state
+FROM w WHERE w + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""")
+def stream_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Gaps of the hours of a stream of scored events, as far as its watermark has closed them."""
+    from scoreloom.streaming import monitor
+
+    found = monitor.windows_by_stream(spark, f"{sf}/events.parquet", "ts", "value", 50.0, 0.35)
+    return found.select(F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "n", F.round("actual_reject_rate", 9).alias("actual_reject_rate"), F.round("gap", 9).alias("gap"), "state")
