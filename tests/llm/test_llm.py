@@ -264,6 +264,51 @@ def test_blocks_lose_no_pair(spark, monkeypatch):
     assert {tuple(x) for x in got} == brute_pairs(rows) and len(got) == 900
 
 
+def test_pairs_without_two_words_in_a_row_are_found(spark):
+    """Every third word of either text is another or misspelt; some texts repeat few words."""
+    r = random.Random(8)
+    stock = ["payment", "account", "interest", "balance", "kitchen", "december", "recently", "employer", "schedule", "workshop", "card", "care", "loan", "monthly"]
+    rows = []
+    for i in range(40):
+        base = [r.choice(stock) if r.random() < 0.5 else "".join(r.choice("abcdefgh") for _ in range(r.randint(3, 16))) for _ in range(r.randint(20, 60))]
+        other = [w if j % 3 < 2 else f"new{i}x{j}" for j, w in enumerate(base)]
+        wrong = [w if j % 3 < 2 else w[:1] + w[2:] if j % 2 else w[:2] + "q" + w[2:] for j, w in enumerate(base)]
+        gaps = [w for j, w in enumerate(base) if j % 3 != 1]
+        gaps = [x for j, w in enumerate(gaps) for x in ([w] if j % 2 else [f"add{i}x{j}", w])][: len(base)]
+        rows += [(10 * i, "train_fit", " ".join(base)), (10 * i + 1, "test", " ".join(other)), (10 * i + 2, "validation", " ".join(wrong)), (10 * i + 3, None, " ".join(gaps)), (10 * i + 4, "test", " ".join(reversed(base)))]
+    want = brute_pairs(rows)
+    got = [tuple(x) for x in overlap.cross_split_overlaps(spark.createDataFrame(rows, "id long, split string, t string"), "id", "t", "split", "train_fit").collect()]
+    assert len(got) == len(set(got)) and set(got) == want and {(10 * i, 10 * i + k) for i in range(40) for k in (1, 2)} <= want
+
+
+def test_bounds_are_never_too_small():
+    """Whatever the buckets, laid out or not, counted repeats, long texts and words."""
+    r = random.Random(4)
+    vocabulary = ["".join(r.choice("abc") for _ in range(r.randint(2, 20))) for _ in range(120)] + ["17", "18"]
+    vocabulary += [w[:1] + w[2:] for w in vocabulary if len(w) > 4]
+    lines = [[r.choice(vocabulary[: r.choice([5, 60, 300])]) for _ in range(r.choice([20, 60, 400]))] for _ in range(60)]
+    key, known = overlap._Words(), sorted({w for x in lines for w in x})
+    near = np.array([(key[w], key[v], sum(v in x for x in lines)) for w in known for v in known if w != v and close(w, v)], np.int64)
+    spelling = overlap.Spelling(set(known))
+    for laid_out in (False, True):
+        buckets = overlap.Buckets(near)
+        if laid_out:
+            overlap._laid_out(buckets, [" ".join(x) for x in lines])
+        counts, opened = buckets.marks([" ".join(x) for x in lines], key)
+        most = counts @ opened.T.astype(int)
+        for i, a in enumerate(lines):
+            for j, b in enumerate(lines):
+                assert overlap.same_order_words(a, b, spelling) <= min(most[i, j], most[j, i])
+
+
+def test_close_words_have_a_key_in_common():
+    r = random.Random(6)
+    some = {"".join(r.choice("abcd") for _ in range(n)) for n in (3, 5, 7, 8, 10, 11, 12, 13, 14, 15, 16, 25) for _ in range(5)}
+    pairs = [(w, v[:j] + y + v[j + e :]) for w in some for x, d in (("", 1), ("a", 0), ("b", 1)) for k in (0, len(w) // 2, len(w) - 1) for v in [w[:k] + x + w[k + d :]] for y, e in (("", 0), ("", 1), ("c", 0), ("c", 1)) for j in (0, len(v) // 3, len(v))]
+    pairs = [(a, b) for a, b in pairs if a != b and close(a, b)]
+    assert len(pairs) > 800 and all(overlap.spelling_keys(a) & overlap.spelling_keys(b) for a, b in pairs)
+
+
 def test_classes_and_links_do_not_expand_copies(spark):
     text = " ".join(f"w{j}" for j in range(30))
     rows = [(i, "train_fit" if i % 3 else "test", text) for i in range(90)] + [(100, "test", text + " more")]
