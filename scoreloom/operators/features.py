@@ -85,18 +85,34 @@ def one_hot(df: DataFrame, columns: list[str], fitted: DataFrame | None = None,
     return (df.withColumns(out) if out else df), names
 
 
-def term_weights(df: DataFrame, key: str, text: str, least_documents: int = 5) -> DataFrame:
-    """(key, term, tf, df, idf, weight) of one- and two-word terms, L2-normed in each text.
-
-    idf = ln((1 + n) / (1 + df)) + 1.  Terms are words of two or more characters, lower case.
-    """
+def _term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, term, tf) of one- and two-word terms: words of two or more characters, lower case."""
     words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(r"(?U)\b\w\w+\b"), 0)
     pairs = F.when(F.size(words) > 1, F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))).otherwise(F.array().cast("array<string>"))
     # Texts are placed by key once; counting in a text and its norm then need no shuffle of terms.
     placed = df.select(F.col(key), F.col(text)).repartition(F.col(key))
-    tf = placed.select(F.col(key), F.explode(F.concat(words, pairs)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    return placed.select(F.col(key), F.explode(F.concat(words, pairs)).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def _known_terms(tf: DataFrame, df: DataFrame, least_documents: int) -> DataFrame:
+    """(term, df, tf, idf) of terms in enough texts, tf being that of all texts."""
     n = df.agg(F.count(F.lit(1)).alias("n"))
-    known = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") >= least_documents).crossJoin(F.broadcast(n)).withColumn("idf", F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).drop("n")
+    known = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf")).where(F.col("df") >= least_documents)
+    return known.crossJoin(F.broadcast(n)).withColumn("idf", F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).drop("n")
+
+
+def term_table(df: DataFrame, key: str, text: str, least_documents: int = 5) -> DataFrame:
+    """(term, df, tf, idf) of one- and two-word terms over all texts: one pass, in which no term meets its texts again.
+
+    idf = ln((1 + n) / (1 + df)) + 1.
+    """
+    return _known_terms(_term_counts(df, key, text), df, least_documents)
+
+
+def term_weights(df: DataFrame, key: str, text: str, least_documents: int = 5) -> DataFrame:
+    """(key, term, tf, df, idf, weight) of the same terms, L2-normed in each text."""
+    tf = _term_counts(df, key, text)
+    known = _known_terms(tf, df, least_documents).drop("tf")
     # Which side is sent whole is left to adaptive execution, by the measured size of the vocabulary.
     # The norm is over the texts' own partitioning where the join keeps it.
     raw = tf.join(known, "term").withColumn("raw", F.col("tf") * F.col("idf"))

@@ -506,8 +506,7 @@ x AS (SELECT tf.*, df.df, ln((1 + n) / (1 + df.df)) + 1 AS idf FROM tf JOIN df U
 SELECT term, df, round(any_value(idf), 6) AS idf, sum(tf)::BIGINT AS tf FROM x GROUP BY 1, 2""")
 def tfidf_terms(spark: SparkSession, sf: str) -> DataFrame:
     """All terms in at least 5 texts, whatever their letters."""
-    w = features.term_weights(split_rows(spark, sf), ID, "desc_clean", 5)
-    return w.groupBy("term", "df").agg(F.round(F.first("idf"), 6).alias("idf"), F.sum("tf").alias("tf"))
+    return features.term_table(split_rows(spark, sf), ID, "desc_clean", 5).select("term", "df", F.round("idf", 6).alias("idf"), "tf")
 
 
 def _z_sql(c: str) -> str:

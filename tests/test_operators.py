@@ -218,3 +218,19 @@ def test_term_table_has_rare_and_accented_terms(spark, monkeypatch):
     want = {(k, n, round(math.log((1 + len(lines)) / (1 + n)) + 1, 6), tf[k]) for k, n in docs.items() if n >= 5}
     got = [tuple(x) for x in model_queries.QUERIES["tfidf_terms"](spark, "").collect()]
     assert set(got) == want and len(got) == len(want) and any(x[0] == "贷款 申请" for x in got)
+
+
+def test_term_table_meets_no_text_again(spark, monkeypatch):
+    """No join of terms, whose vocabulary the driver would collect to send it; rows of one key are one text."""
+    from scoreloom.plans import model_queries
+
+    df = spark.createDataFrame([(i // 2, "loan for a car loan" if i % 2 else "the car") for i in range(12)] + [(None, "null key car")], "_shared_row_id long, desc_clean string")
+    monkeypatch.setattr(model_queries, "split_rows", lambda *_: df)
+    found = model_queries.QUERIES["tfidf_terms"](spark, "")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and "Join Cross" in plan and plan.count("Generate explode") == 1
+    got = {x.term: (x.df, x.tf, x.idf) for x in found.collect()}
+    idf = round(math.log(14 / 7) + 1, 6)
+    assert got["car"] == (7, 13, round(math.log(14 / 8) + 1, 6)) and got["loan"] == (6, 12, idf) and got["for car"] == (6, 6, idf)
+    weights = features.term_weights(df, "_shared_row_id", "desc_clean", 5)
+    assert {(x.term, x.df) for x in weights.collect()} == {(k, v[0]) for k, v in got.items()}
