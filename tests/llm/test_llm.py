@@ -301,6 +301,49 @@ def test_bounds_are_never_too_small():
                 assert overlap.same_order_words(a, b, spelling) <= min(most[i, j], most[j, i])
 
 
+def test_products_of_packed_columns_are_those_of_each_pair():
+    r = np.random.default_rng(2)
+    for size, size2, most in ((300, 1700, 2), (5, 1, 9), (40, 3100, 1), (30, 70, 40)):
+        counts = r.integers(0, most + 1, (size, overlap.BUCKETS)) * (r.random((size, overlap.BUCKETS)) < 0.3)
+        opened, counts2 = r.random((size2, overlap.BUCKETS)) < 0.7, r.integers(0, 2, (size2, overlap.BUCKETS))
+        counts2[: size2 // 2] = (counts.sum(1).mean() / overlap.BUCKETS + r.random((size2 // 2, overlap.BUCKETS))).astype(int)
+        opened2 = r.random((size, overlap.BUCKETS)) < 0.8
+        n, m = counts.sum(1), counts2.sum(1)
+        got = [x for a, b in overlap.may_match((n, counts, opened2), (m, counts2, opened)) for x in zip(a.tolist(), b.tolist())]
+        least = np.ceil(2 / 3 * np.maximum(n[:, None], m[None]) - 1e-9)
+        want = np.minimum(np.minimum(counts @ opened.T.astype(int), opened2.astype(int) @ counts2.T), np.minimum(n[:, None], m[None])) >= least
+        assert len(got) == len(set(got)) and set(got) == set(zip(*(x.tolist() for x in np.nonzero(want))))
+
+
+def test_order_bounds_are_never_too_small():
+    """Of pairs as they are, of long ones, and exact where no two words are close."""
+    r = random.Random(9)
+    vocabulary = ["".join(r.choice("abc") for _ in range(r.randint(2, 9))) for _ in range(90)] + [str(i) for i in range(40)]
+    key = overlap._Words()
+    for sizes in ((20, 30), (60, 64, 65, 90), (127, 128, 129, 190), (700, 1100)):
+        lines = [[r.choice(vocabulary[: r.choice([4, 130])]) for _ in range(r.choice(sizes))] for _ in range(40 if max(sizes) < 500 else 6)]
+        lines += [[w for w in x if r.random() < 0.8] for x in lines]
+        known = sorted({w for x in lines for w in x})
+        near = np.array([(key[w], key[v], 1) for w in known for v in known if w != v and close(w, v)], np.int64).reshape(-1, 3)
+        for some in (near, near[:0]):
+            buckets, spelling = overlap.Buckets(some), overlap.Spelling(set(known) if len(some) else set())
+            owner, h = overlap._hashes([" ".join(x) for x in lines], key)
+            block = overlap._Lines(np.bincount(owner), buckets.grouped(h))
+            a, b = (x.ravel() for x in np.meshgrid(np.arange(len(lines)), np.arange(len(lines))))
+            want = np.array([3 * overlap.same_order_words(lines[i], lines[j], spelling) >= 2 * max(len(lines[i]), len(lines[j])) for i, j in zip(a, b)])
+            got = overlap._in_line(block, block, a, b)
+            assert not (want & ~got).any() and want.sum() > len(lines)
+            assert len(some) or (want == got).all()
+
+
+def test_texts_of_the_same_words_in_another_order_are_not_fetched(spark):
+    r = random.Random(11)
+    base = [f"w{j}" for j in range(60)]
+    rows = [(i, 1 + i % 2, " ".join(r.sample(base, 60))) for i in range(40)] + [(40, 1, " ".join(base)), (41, 2, " ".join(base[:58]))]
+    texts = spark.createDataFrame([(i, line, side, len(line.split()), i) for i, side, line in rows], "c long, line string, side int, n int, h1 long")
+    assert [tuple(x) for x in overlap._meetings(texts).collect()] == [(40, 41)]
+
+
 def test_close_words_have_a_key_in_common():
     r = random.Random(6)
     some = {"".join(r.choice("abcd") for _ in range(n)) for n in (3, 5, 7, 8, 10, 11, 12, 13, 14, 15, 16, 25) for _ in range(5)}
